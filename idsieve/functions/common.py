@@ -28,7 +28,8 @@ def clip01(c: Column) -> Column:
 
 
 def r(c: Column, n: int = 4) -> Column:
-    return F.round(c, n)
+    """Round half up; the nudge sends decimal ties up whatever their last binary digit."""
+    return F.round(c + F.lit(1e-9), n)
 
 
 def strip(c: Column) -> Column:

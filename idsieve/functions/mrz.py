@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from idsieve.functions.common import case, strip
+from idsieve.functions.common import case, let, strip
 from idsieve.functions.dates import parse_date
 
 # Fixed values.
@@ -72,34 +72,42 @@ def passport_first(lines: Column) -> Column:
     )
 
 
-def select_lines(cands: Column) -> Column:
-    """struct(outcome, format, lines): parsed with 2x44, 2x36 or 3x30 lines, else partial/none."""
-
-    def of(n: int) -> Column:
-        return F.filter(cands, lambda s: F.length(s) == n)
-
-    td3, td2, td1 = passport_first(of(44)), of(36), of(30)
-    none = F.array().cast("array<string>")
+def _select(c: Column) -> Column:
+    """The decision over struct(td3, td2, td1, all)."""
+    td3, td2, td1, cands = c["td3"], c["td2"], c["td1"], c["all"]
+    outcome = case(
+        ((F.size(td3) >= 2) | (F.size(td2) >= 2) | (F.size(td1) >= 3), "parsed"),
+        (F.size(cands) > 0, "partial"), otherwise="none",
+    )
     fmt = case((F.size(td3) >= 2, "TD3"), (F.size(td2) >= 2, "TD2"), (F.size(td1) >= 3, "TD1"))
     lines = case(
         (F.size(td3) >= 2, F.slice(td3, 1, 2)),
         (F.size(td2) >= 2, F.slice(td2, 1, 2)),
         (F.size(td1) >= 3, F.slice(td1, 1, 3)),
-        (F.size(cands) > 0, F.slice(cands, 1, 3)),
-        otherwise=none,
+        otherwise=F.slice(cands, 1, 3),
     )
-    outcome = case((fmt.isNotNull(), "parsed"), (F.size(cands) > 0, "partial"), otherwise="none")
     return F.struct(outcome.alias("outcome"), fmt.alias("format"), lines.alias("lines"))
 
 
+def select_lines(cands: Column) -> Column:
+    """struct(outcome, format, lines): parsed with 2x44, 2x36 or 3x30 lines, else partial/none."""
+
+    def by_length(c: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.filter(c, lambda s: F.length(s) == n)
+
+        return F.struct(passport_first(of(44)).alias("td3"), of(36).alias("td2"),
+                        of(30).alias("td1"), c.alias("all"))
+
+    return let(let(cands, by_length), _select)
+
+
 def names(block: Column) -> Column:
     """struct(surname, given_names) of a name block."""
-    at = F.instr(block, "<<")
-    head = F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(block)
-    tail = F.when(at > 0, F.substring(block, at + 2, F.length(block))).otherwise(F.lit(""))
+    parts = F.split(block, "<<", 2)
     return F.struct(
-        strip(F.translate(head, "<", " ")).alias("surname"),
-        strip(F.translate(tail, "<", " ")).alias("given_names"),
+        strip(F.translate(F.get(parts, 0), "<", " ")).alias("surname"),
+        strip(F.translate(F.coalesce(F.get(parts, 1), F.lit("")), "<", " ")).alias("given_names"),
     )
 
 
@@ -172,11 +180,10 @@ def parse_layout(lines: Column, fmt: str, compat: bool = False) -> Column:
 
 def parse_selected(selected: Column, compat: bool = False) -> Column:
     """Parsed struct of the selected layout; null unless the outcome is ``parsed``."""
-    lines = selected["lines"]
-    return case(
-        *[(selected["format"] == fmt, parse_layout(lines, fmt, compat)) for fmt in LAYOUTS],
+    return let(selected, lambda sel: case(
+        *[(sel["format"] == fmt, parse_layout(sel["lines"], fmt, compat)) for fmt in LAYOUTS],
         otherwise=F.lit(None).cast(PARSED_TYPE),
-    )
+    ))
 
 
 def all_digits_ok(p: Column) -> Column:
@@ -197,21 +204,22 @@ def name_tokens(c: Column) -> Column:
 
 
 def token_overlap(visible: Column, mrz: Column) -> Column:
-    return F.size(F.array_intersect(visible, mrz)) / F.greatest(F.lit(1), F.size(mrz))
+    return let(mrz, lambda m: F.size(F.array_intersect(visible, m)) / F.greatest(F.lit(1), F.size(m)))
 
 
 def compare_name(surname: Column, given: Column, visible: Column) -> Column:
-    m, v = letters(F.concat_ws(" ", surname, given)), letters(visible)
-    vt = name_tokens(visible)
-    mt = F.array_union(name_tokens(surname), name_tokens(given))
-    share = token_overlap(vt, mt)
-    return case(
-        ((F.length(v) == 0) | (F.length(m) == 0), "NOT_ASSESSED"),
-        (F.contains(v, m) | F.contains(m, v), "PASS"),
-        (share >= 0.5, "PASS"),
-        (share > 0, "WARNING"),
-        otherwise="FAIL",
+    both = F.struct(
+        letters(F.concat_ws(" ", surname, given)).alias("m"), letters(visible).alias("v"),
+        token_overlap(name_tokens(visible),
+                      F.array_union(name_tokens(surname), name_tokens(given))).alias("share"),
     )
+    return let(both, lambda b: case(
+        ((F.length(b["v"]) == 0) | (F.length(b["m"]) == 0), "NOT_ASSESSED"),
+        (F.contains(b["v"], b["m"]) | F.contains(b["m"], b["v"]), "PASS"),
+        (b["share"] >= 0.5, "PASS"),
+        (b["share"] > 0, "WARNING"),
+        otherwise="FAIL",
+    ))
 
 
 def visible_yymmdd(value: Column) -> Column:
@@ -221,24 +229,23 @@ def visible_yymmdd(value: Column) -> Column:
 
 
 def compare_dob(mrz_dob: Column, visible: Column) -> Column:
-    vis = visible_yymmdd(visible)
-    return case(
+    return let(visible_yymmdd(visible), lambda vis: case(
         (vis.isNull() | F.coalesce(F.length(mrz_dob) != 6, F.lit(True)), "NOT_ASSESSED"),
         (vis == mrz_dob, "PASS"),
         otherwise="FAIL",
-    )
+    ))
 
 
 def compare_number(mrz_number: Column, visible: Column) -> Column:
     def norm(c: Column) -> Column:
         return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", "")
 
-    m, v = norm(mrz_number), norm(visible)
-    return case(
-        ((m == "") | (v == ""), "NOT_ASSESSED"),
-        (F.contains(v, m) | F.contains(m, v), "PASS"),
+    both = F.struct(norm(mrz_number).alias("m"), norm(visible).alias("v"))
+    return let(both, lambda b: case(
+        ((b["m"] == "") | (b["v"] == ""), "NOT_ASSESSED"),
+        (F.contains(b["v"], b["m"]) | F.contains(b["m"], b["v"]), "PASS"),
         otherwise="FAIL",
-    )
+    ))
 
 
 # Checklist items and labels.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsieve.functions.common import case, let
+from idsieve.functions.common import case, let, r
 from idsieve.functions.dates import date_order_checks, parse_date, validate_date
 from idsieve.functions.fields import (
     document_number, expects, field_status, match, number_shape, person, reconcile, sex_code,
@@ -165,7 +165,7 @@ def summarize(docs: DataFrame, fields: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("status") == "EXTRACTED", F.col("field"))).alias("_ok"),
         F.count(F.lit(1)).alias("field_count"),
         F.count_if(F.col("status") == "UNCERTAIN").alias("uncertain_count"),
-        F.round(F.avg("ocr_confidence"), 4).alias("mean_field_ocr_confidence"),
+        r(F.avg("ocr_confidence")).alias("mean_field_ocr_confidence"),
         *[F.count_if(F.col("validation") == v).alias(n) for v, n in
           (("PASS", "pass_count"), ("WARNING", "warn_count"), ("FAIL", "fail_count"))],
     )

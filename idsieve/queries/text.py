@@ -433,7 +433,7 @@ FROM (SELECT d.doc_id, coalesce(field_count, 0) AS field_count, coalesce(uc, 0)
   array_to_string(list_filter(need, lambda f: NOT (list_contains(fnd, f) OR (f = 'gender' AND list_contains(fnd, 'sex')) OR (f = 'sex' AND list_contains(fnd, 'gender')) OR (f = 'document_number' AND list_contains(fnd, 'visa_number')))), ',') AS missing
  FROM (SELECT t.doc_id, list_filter(expected_fields, lambda f: f NOT IN ('photo', 'signature', 'mrz')) AS need FROM ({I.ID_TEXT_SQL}) t JOIN {_PROFILE_SQL} ON p.document_type = t.document_type) d
  LEFT JOIN (SELECT doc_id, count(*) AS field_count, count_if(status = 'UNCERTAIN') AS uc, count_if(validation = 'PASS') AS pc,
-   count_if(validation = 'WARNING') AS wc, count_if(validation = 'FAIL') AS fl, round(avg(ocr_confidence), 4) AS mean_field_ocr_confidence,
+   count_if(validation = 'WARNING') AS wc, count_if(validation = 'FAIL') AS fl, round(avg(ocr_confidence) + 1e-9, 4) AS mean_field_ocr_confidence,
    list(field) AS fnd0, list(field) FILTER (WHERE status = 'EXTRACTED') AS okk0 FROM ({ASSESSED_SQL}) a GROUP BY doc_id) g ON g.doc_id = d.doc_id
  CROSS JOIN LATERAL (SELECT coalesce(fnd0, []::VARCHAR[]) AS fnd, coalesce(okk0, []::VARCHAR[]) AS okk) z) s) y"""
 
