@@ -146,7 +146,7 @@ def percentile_norm(cells: DataFrame, value: str = "value", out: str = "norm") -
     """
     counts = cells.groupBy(*KEY, value).agg(F.count(F.lit(1)).alias("_n"))
     band = counts.groupBy(*KEY).agg(
-        F.percentile(value, [0.05, 0.95], "_n").alias("_p"))
+        F.percentile(value, [0.05, 0.95], F.col("_n")).alias("_p"))
     lo, hi = F.col("_p")[0], F.col("_p")[1]
     scaled = F.when(hi - lo < 1e-6, 0.0).otherwise(
         clip((F.col(value) - lo) / (hi - lo + 1e-6), 0.0, 1.0))

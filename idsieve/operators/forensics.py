@@ -83,9 +83,9 @@ def height_bands(regions: DataFrame) -> DataFrame:
     document shrinks to its distinct heights before its percentile is taken."""
     counts = regions.groupBy("doc_id", "relative_height").agg(F.count(F.lit(1)).alias("_n"))
     med = counts.groupBy("doc_id").agg(
-        F.percentile("relative_height", 0.5, "_n").alias("median_height"), F.sum("_n").alias("region_count"))
+        F.percentile("relative_height", 0.5, F.col("_n")).alias("median_height"), F.sum("_n").alias("region_count"))
     dev = counts.join(med, "doc_id").withColumn("_dev", F.abs(F.col("relative_height") - F.col("median_height")))
-    mad = dev.groupBy("doc_id").agg((F.percentile("_dev", 0.5, "_n") + 1e-9).alias("mad"))
+    mad = dev.groupBy("doc_id").agg((F.percentile("_dev", 0.5, F.col("_n")) + 1e-9).alias("mad"))
     return med.join(mad, "doc_id")
 
 
