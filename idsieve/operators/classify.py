@@ -95,20 +95,21 @@ def blend(d: DataFrame, weights=None, bias=None) -> DataFrame:
 def gate(d: DataFrame) -> DataFrame:
     """Rank, keep up to three alternatives, and fall back to UNKNOWN when unsure."""
     labels = F.array(*[F.lit(t) for t in CORE_TYPES])
-    d = d.withColumn("_rank", ranked(F.col("type_probabilities"), labels))
-    top, second = F.col("_rank")[0], F.col("_rank")[1]
-    d = d.withColumns({
-        "_p": top["probability"], "_top": top["label"], "margin": top["probability"] - second["probability"],
-        "alternatives": F.transform(
-            F.filter(F.slice("_rank", 2, 3), lambda x: x["probability"] > 0.04),
-            lambda x: F.struct(x["label"].alias("label"), r(x["probability"]).alias("confidence"))),
-    })
-    p = F.col("_p")
-    unsure = (p < 0.28) | ((F.col("margin") < 0.05) & (p < 0.4))
-    return d.withColumns({
-        "core_type": F.when(unsure, F.lit("UNKNOWN")).otherwise(F.col("_top")),
-        "type_confidence": r(F.when(unsure, F.least(p, F.lit(0.4))).otherwise(p)),
-    }).drop("_rank", "_p", "_top")
+
+    def settle(rank: Column) -> Column:
+        p, margin = rank[0]["probability"], rank[0]["probability"] - rank[1]["probability"]
+        unsure = (p < 0.28) | ((margin < 0.05) & (p < 0.4))
+        return F.struct(
+            F.when(unsure, F.lit("UNKNOWN")).otherwise(rank[0]["label"]).alias("core_type"),
+            r(F.when(unsure, F.least(p, F.lit(0.4))).otherwise(p)).alias("type_confidence"),
+            margin.alias("margin"),
+            F.transform(F.filter(F.slice(rank, 2, 3), lambda x: x["probability"] > 0.04),
+                        lambda x: F.struct(x["label"].alias("label"), r(x["probability"]).alias("confidence"))
+                        ).alias("alternatives"))
+
+    d = d.withColumn("_g", let(ranked(F.col("type_probabilities"), labels), settle))
+    return d.withColumns({c: F.col(f"_g.{c}") for c in (
+        "core_type", "type_confidence", "margin", "alternatives")}).drop("_g")
 
 
 def subtype(d: DataFrame) -> DataFrame:

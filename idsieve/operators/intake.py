@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsieve.functions.common import blank_to_null, case
+from idsieve.functions.common import blank_to_null, case, let
 from idsieve.functions.fixed import DANGEROUS_PREFIXES, EXTENSION_MIME
 from idsieve.settings import DEFAULT, Settings
 
@@ -18,8 +18,7 @@ INTERNAL_COLUMNS = ("compare_values", "_embedding", "raw_value", "full_text", "c
 def safe_filename(name: Column) -> Column:
     """Base name with unusual characters folded to _, at most 200 long, never empty."""
     base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)/*$", 1)
-    base = F.when(base.isin("", "."), F.lit("upload.bin")).otherwise(base)
-    clean = F.regexp_replace(base, r"(?U)[^\w.\- ()\[\]]+", "_")
+    clean = F.regexp_replace(F.regexp_replace(base, r"^\.?$", "upload.bin"), r"(?U)[^\w.\- ()\[\]]+", "_")
     return F.coalesce(blank_to_null(F.left(clean, F.lit(200))), F.lit("upload.bin"))
 
 
@@ -35,22 +34,19 @@ def head(content: Column) -> Column:
 
 
 def is_dangerous(content: Column) -> Column:
-    h = head(content)
-    cond = h.startswith(DANGEROUS_PREFIXES[0])
-    for prefix in DANGEROUS_PREFIXES[1:]:
-        cond = cond | h.startswith(prefix)
-    return cond
+    """Does the head start like an executable, a script or a web page?"""
+    starts = "|".join(rf"\Q{p}\E" for p in DANGEROUS_PREFIXES)
+    return head(content).rlike(f"^(?:{starts})")
 
 
 def sniff(content: Column) -> Column:
     """PNG, JPEG, WEBP or PDF by the leading bytes; null when unknown or under 12 bytes."""
-    hx = F.hex(F.substring(content, 1, 12))
-    return F.when(F.length(content) >= 12, case(
+    return let(F.hex(F.substring(content, 1, 12)), lambda hx: F.when(F.length(hx) >= 24, case(
         (hx.startswith("89504E470D0A1A0A"), "PNG"),
         (hx.startswith("FFD8FF"), "JPEG"),
         (hx.startswith("52494646") & hx.endswith("57454250"), "WEBP"),
         (hx.startswith("25504446"), "PDF"),
-    ))
+    )))
 
 
 def png_size(content: Column) -> tuple[Column, Column]:
@@ -64,21 +60,28 @@ def png_size(content: Column) -> tuple[Column, Column]:
 
 def header_code(settings: Settings = DEFAULT) -> Column:
     """Rejection code from name and bytes alone, null when none applies. First match wins."""
-    c, ext, kind = F.col("content"), F.col("ext"), F.col("sniffed")
-    size = F.coalesce(F.length(c), F.lit(0))
-    pairs = case(
-        (kind == "JPEG", ext.isin(".jpg", ".jpeg")), (kind == "PNG", ext == ".png"),
-        (kind == "WEBP", ext == ".webp"), (kind == "PDF", ext == ".pdf"),
-    )
-    return case(
-        (size == 0, "EMPTY_FILE"),
-        (size > settings.max_upload_bytes, "FILE_TOO_LARGE"),
-        (is_dangerous(c), "DANGEROUS_CONTENT"),
-        (~ext.isin(*settings.extensions), "BAD_EXTENSION"),
-        (kind.isNull(), "BAD_SIGNATURE"),
-        (~pairs, "MIME_MISMATCH"),
-        ((kind == "PDF") & F.lit(not settings.allow_pdf), "PDF_DISABLED"),
-    )
+    c = F.col("content")
+    facts = F.struct(
+        F.coalesce(F.length(c), F.lit(0)).alias("size"), is_dangerous(c).alias("danger"),
+        F.col("ext").alias("ext"), F.col("sniffed").alias("kind"))
+
+    def code(x: Column) -> Column:
+        ext, kind = x["ext"], x["kind"]
+        pairs = case(
+            (kind == "JPEG", ext.isin(".jpg", ".jpeg")), (kind == "PNG", ext == ".png"),
+            (kind == "WEBP", ext == ".webp"), (kind == "PDF", ext == ".pdf"),
+        )
+        return case(
+            (x["size"] == 0, "EMPTY_FILE"),
+            (x["size"] > settings.max_upload_bytes, "FILE_TOO_LARGE"),
+            (x["danger"], "DANGEROUS_CONTENT"),
+            (~ext.isin(*settings.extensions), "BAD_EXTENSION"),
+            (kind.isNull(), "BAD_SIGNATURE"),
+            (~pairs, "MIME_MISMATCH"),
+            ((kind == "PDF") & F.lit(not settings.allow_pdf), "PDF_DISABLED"),
+        )
+
+    return let(facts, code)
 
 
 def with_header(files: DataFrame) -> DataFrame:
@@ -107,12 +110,11 @@ def validate(files: DataFrame, settings: Settings = DEFAULT,
     else:
         f = f.join(decoded.select(key, "width", "height"), key, "left")
         unreadable = (F.col("sniffed") != "PDF") & F.col("width").isNull()
-    pixels = F.col("width") * F.col("height")
-    return f.withColumn("code", F.coalesce(header_code(settings), case(
-        (unreadable, "CORRUPT_IMAGE"),
-        (pixels <= 0, "BAD_DIMENSIONS"),
-        (pixels > settings.max_image_pixels, "TOO_MANY_PIXELS"),
-    )))
+    size = F.struct(unreadable.alias("bad"), (F.col("width") * F.col("height")).alias("pixels"))
+    by_size = let(size, lambda x: case(
+        (x["bad"], "CORRUPT_IMAGE"), (x["pixels"] <= 0, "BAD_DIMENSIONS"),
+        (x["pixels"] > settings.max_image_pixels, "TOO_MANY_PIXELS")))
+    return f.withColumn("code", F.coalesce(header_code(settings), by_size))
 
 
 def accepted_metadata(validated: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
+        MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLE[name] = sql
         return fn
