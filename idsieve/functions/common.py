@@ -75,3 +75,14 @@ def let(c: Column, fn) -> Column:
     expression grows exponentially.
     """
     return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
+def fence(c: Column) -> Column:
+    """``c`` itself, but filters on it stay above the projection that computes it.
+
+    Catalyst pushes a filter on a computed column down by copying the column's
+    whole expression, through every stage below. For a verdict built in many
+    stages that copy grows beyond memory, while a filter on it can never reach a
+    scan. The partition number is never negative, so the value does not change.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)

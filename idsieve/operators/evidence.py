@@ -96,7 +96,7 @@ def checks_column(d: DataFrame) -> DataFrame:
                                  F.when(known, c(col)).otherwise(F.lit("NOT_ASSESSED"))))
 
     fixed = F.array_compact(F.array(
-        _row("image_quality", quality, detail=F.format_string("quality=%.4f", "overall_quality")),
+        _row("image_quality", quality, detail=F.format_string("quality=%.4f", F.col("overall_quality").cast("double"))),
         _row("document_type", doc_type, detail=F.concat(F.lit("type="), label)),
         _row("ocr", ocr, case((ocr == "PASS", "info"), otherwise="review"),
              F.concat(F.lit("status="), c("ocr_status"))),

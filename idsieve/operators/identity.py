@@ -11,8 +11,8 @@ from idsieve.functions.vectors import face_cosine, vector_id
 
 
 def face_quality(d: DataFrame) -> DataFrame:
-    """laplacian_variance, mean_gray, std_gray, face_w, face_h, img_w, img_h -> quality, label."""
-    area = F.col("face_w") * F.col("face_h") / F.greatest(F.lit(1), F.col("img_w") * F.col("img_h"))
+    """laplacian_variance, mean_gray, std_gray, w, h, img_w, img_h -> face_quality, face_label."""
+    area = F.col("w") * F.col("h") / F.greatest(F.lit(1), F.col("img_w") * F.col("img_h"))
     d = d.withColumn("area_fraction", area)
     a = F.col("area_fraction")
     q = clip01(

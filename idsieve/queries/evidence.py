@@ -8,7 +8,7 @@ from idsieve.queries.inputs import _pick
 from idsieve.queries.registry import query
 
 # Stand-in module outputs of every document.
-EV = f"""SELECT d.doc_id, round(least(1.0, n_chars / 2000.0), 4) AS evidence_quality, round(least(1.0, n_chars / 2000.0), 4) AS overall_quality, d.doc_id % 13 = 0 AS insufficient_for_analysis,
+EV = f"""SELECT d.doc_id, CAST(round(least(1.0, CAST(n_chars AS DOUBLE) / 2000.0), 4) AS DOUBLE) AS evidence_quality, CAST(round(least(1.0, CAST(n_chars AS DOUBLE) / 2000.0), 4) AS DOUBLE) AS overall_quality, d.doc_id % 13 = 0 AS insufficient_for_analysis,
  {_pick('PASSPORT,VISA,NATIONAL_ID,OTHER,UNKNOWN', 'd.doc_id')} AS document_type, CAST(d.doc_id * 7 % 101 AS DOUBLE) / 101.0 AS type_confidence,
  CASE d.doc_id % 6 WHEN 3 THEN 'SKIPPED' WHEN 4 THEN 'ERROR' WHEN 5 THEN NULL ELSE 'OK' END AS ocr_status, CASE WHEN d.doc_id % 8 = 0 THEN NULL ELSE CAST(d.doc_id * 3 % 97 AS DOUBLE) / 97.0 END AS ocr_confidence,
  CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE CAST(d.doc_id * 11 % 103 AS DOUBLE) / 103.0 END AS field_completeness, CASE WHEN d.doc_id % 4 = 0 THEN 'NO_FIELDS' ELSE 'PARTIAL' END AS fields_status, CAST(d.doc_id % 4 AS BIGINT) AS field_count,
@@ -19,9 +19,9 @@ EV = f"""SELECT d.doc_id, round(least(1.0, n_chars / 2000.0), 4) AS evidence_qua
  CASE d.doc_id % 7 WHEN 0 THEN 'SUSPECT_PRESENTATION_ATTACK' WHEN 1 THEN 'INCONCLUSIVE' ELSE 'PASSIVE_OK_UNCALIBRATED' END AS pad_decision, CASE d.doc_id % 4 WHEN 0 THEN 'ALIGNED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'DIVERGENT' END AS clip_agreement,
  CASE WHEN d.doc_id % 10 = 0 THEN NULL ELSE CAST(d.doc_id * 17 % 107 AS DOUBLE) / 107.0 END AS enet_auth, CAST(d.doc_id * 19 % 109 AS DOUBLE) / 109.0 AS vit_auth, d.doc_id % 10 <> 0 AS enet_ok, d.doc_id % 2 = 0 AS vit_ok, d.doc_id % 3 = 0 AS clip_ok,
  CASE WHEN d.doc_id % 12 = 0 THEN 'ERROR' ELSE 'ANALYZED' END AS tamper_status, CASE toxic WHEN 1 THEN 'ELEVATED_REVIEW' WHEN 0 THEN CASE WHEN d.doc_id % 5 = 0 THEN 'MILD_REVIEW' ELSE 'LOW_SIGNAL' END ELSE 'NOT_ASSESSED' END AS severity,
- CASE WHEN d.doc_id % 7 = 3 THEN 'NOT_ASSESSED' ELSE 'FUSED' END AS fusion_status, CASE WHEN d.doc_id % 7 = 3 THEN NULL ELSE CAST(d.doc_id * 23 % 113 AS DOUBLE) / 113.0 END AS fusion_authentic, CASE WHEN d.doc_id % 7 = 3 THEN NULL ELSE 1.0 - CAST(d.doc_id * 23 % 113 AS DOUBLE) / 113.0 END AS fusion_tampered,
+ CASE WHEN d.doc_id % 7 = 3 THEN 'NOT_ASSESSED' ELSE 'FUSED' END AS fusion_status, CASE WHEN d.doc_id % 7 = 3 THEN NULL ELSE CAST(d.doc_id * 23 % 113 AS DOUBLE) / 113.0 END AS fusion_authentic, CASE WHEN d.doc_id % 7 = 3 THEN NULL ELSE CAST(1 AS DOUBLE) - CAST(d.doc_id * 23 % 113 AS DOUBLE) / 113.0 END AS fusion_tampered,
  CASE d.doc_id % 4 WHEN 0 THEN 'AGREE' ELSE 'PARTIAL' END AS head_agreement, CASE d.doc_id % 3 WHEN 0 THEN 'CALIBRATED' WHEN 1 THEN 'SKIPPED' ELSE 'NOT_ASSESSED' END AS calibration_status,
- CASE quality WHEN 1 THEN 0.7 WHEN 0 THEN 0.2 END AS authenticity_estimate, CAST(CASE WHEN d.doc_id % 19 = 0 THEN 2 ELSE 0 END AS INT) AS typography_anomalies, quality, toxic
+ CAST(CASE quality WHEN 1 THEN 0.7 WHEN 0 THEN 0.2 END AS DOUBLE) AS authenticity_estimate, CAST(CASE WHEN d.doc_id % 19 = 0 THEN 2 ELSE 0 END AS INT) AS typography_anomalies, quality, toxic
 FROM {{documents}} d LEFT JOIN {{labels}} l ON l.doc_id = d.doc_id"""
 EV_SQL = I.plain(EV)
 
@@ -119,7 +119,7 @@ query("doc_verdict", f"SELECT doc_id, doc_status FROM ({DOC}) d")(lambda s, sf:
 FACES = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'NOT_DETECTED' WHEN 1 THEN 'MULTIPLE_DETECTED' WHEN 8 THEN NULL ELSE 'DETECTED' END AS doc_face_status, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'CAPTURED' END AS camera_status,
  CASE doc_id % 11 WHEN 0 THEN 'NOT_DETECTED' ELSE 'DETECTED' END AS live_face_status, CAST(CASE doc_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS live_face_count,
  CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'NOT_ASSESSED' ELSE 'COMPARED_UNCALIBRATED' END AS ver_status, CASE doc_id % 5 WHEN 0 THEN 'NO_MATCH' WHEN 1 THEN 'match' WHEN 2 THEN 'MATCH_CANDIDATE' WHEN 3 THEN NULL ELSE 'HIGH_SIMILARITY' END AS ver_result,
- CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 0.9 END AS similarity, CASE WHEN doc_id % 17 = 0 THEN 'SAME_IMAGE_BYTES' ELSE 'DIFFERENT' END AS embedding_sources FROM {documents}"""
+ CAST(CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 0.9 END AS DOUBLE) AS similarity, CASE WHEN doc_id % 17 = 0 THEN 'SAME_IMAGE_BYTES' ELSE 'DIFFERENT' END AS embedding_sources FROM {documents}"""
 FACES_SQL = I.plain(FACES)
 IDV = f"""SELECT *, CASE WHEN noface THEN 'FACE_NOT_DETECTED' WHEN res IN ('MATCH', 'NO_MATCH', 'INCONCLUSIVE') THEN res WHEN df IN ('DETECTED', 'MULTIPLE_DETECTED') AND NOT cap THEN 'AWAITING_LIVE' ELSE 'NOT_ASSESSED' END AS id_status FROM (
  SELECT *, CASE WHEN noface THEN 'NOT_AVAILABLE' WHEN r1 = 'MATCH' AND embedding_sources = 'SAME_IMAGE_BYTES' THEN 'INCONCLUSIVE' ELSE r1 END AS res FROM (
@@ -219,8 +219,8 @@ def q_explain(spark, sf):
 
 # --- the flagship: every document screened, newest cases listed -----------------------------
 
-_SCREEN = """SELECT doc_id, evidence_quality, authenticity_estimate, severity, CAST(CASE doc_id % 4 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'AWAITING_LIVE' ELSE 'FACE_NOT_DETECTED' END AS STRING) AS identity, 1.0 AS field_completeness FROM
- (SELECT d.doc_id, round(least(1.0, n_chars / 2000.0), 4) AS evidence_quality, CASE quality WHEN 1 THEN 0.7 WHEN 0 THEN 0.2 END AS authenticity_estimate, CASE toxic WHEN 1 THEN 'ELEVATED_REVIEW' WHEN 0 THEN 'LOW_SIGNAL' ELSE 'NOT_ASSESSED' END AS severity
+_SCREEN = """SELECT doc_id, evidence_quality, authenticity_estimate, severity, CAST(CASE doc_id % 4 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'AWAITING_LIVE' ELSE 'FACE_NOT_DETECTED' END AS STRING) AS identity, CAST(1 AS DOUBLE) AS field_completeness FROM
+ (SELECT d.doc_id, CAST(round(least(1.0, CAST(n_chars AS DOUBLE) / 2000.0), 4) AS DOUBLE) AS evidence_quality, CAST(CASE quality WHEN 1 THEN 0.7 WHEN 0 THEN 0.2 END AS DOUBLE) AS authenticity_estimate, CASE toxic WHEN 1 THEN 'ELEVATED_REVIEW' WHEN 0 THEN 'LOW_SIGNAL' ELSE 'NOT_ASSESSED' END AS severity
   FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) e"""
 
 
