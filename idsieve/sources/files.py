@@ -39,7 +39,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.format("image").option("dropInvalid", True).load(path)
     return raw.select(
-        F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
+        # The two sources spell local paths differently.
+        F.regexp_replace("image.origin", "^file:///", "file:/").alias("path"), F.col("image.height").alias("height"),
         F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"))
 
