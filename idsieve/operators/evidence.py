@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsieve.functions.common import case, clip01, flags, r
+from idsieve.functions.common import case, clip01, r
 from idsieve.functions.fixed import CONFIDENCE_WEIGHTS, QUALITY_MIN
 
 STATUSES = ("PASS", "FAIL", "WARNING", "NOT_ASSESSED", "NOT_APPLICABLE")

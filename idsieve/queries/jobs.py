@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from idsieve.functions.fixed import FUSION_DIM
 from idsieve.operators import decision as od, evidence as oe
 from idsieve.plans import jobs
 from idsieve.plans.folders import work_folder
-from idsieve.queries import evidence as qe, images as qi, inputs as I, intake as qn, text as qt, vectors as qv
+from idsieve.queries import images as qi, inputs as I, intake as qn, text as qt, vectors as qv
 from idsieve.queries.registry import query
 from idsieve.sources import files as sfiles
 from idsieve.streaming.screen import screen_stream

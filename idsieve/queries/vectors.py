@@ -139,7 +139,6 @@ def q_predict(spark, sf):
     return p.select("vec_id", F.round(F.col("p")[0], 5).alias("p1"), F.round(F.col("p")[1], 5).alias("p2"))
 
 
-_PRES = "label % 2 = 0, label % 3 = 0, label % 5 = 0"
 
 
 @query("vision_status", "SELECT vec_id, CASE WHEN a AND b AND c THEN 'OK' WHEN a OR b OR c THEN 'PARTIAL' ELSE 'NOT_ASSESSED' END AS vision_status FROM (SELECT vec_id, label % 2 = 0 AS a, label % 3 = 0 AS b, label % 5 = 0 AS c FROM embeddings) t")

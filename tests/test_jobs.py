@@ -1,6 +1,5 @@
 """Intake, images, audit chains, rate limit, skew helpers, streams."""
 
-import os
 import random
 import struct
 import zlib
