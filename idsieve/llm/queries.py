@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import quality
+from idsieve.llm import mixing, quality, secrets
+from idsieve.llm.shared import checkpointed
+from idsieve.llm.words import n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +33,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs, quality.fit_references(docs)).drop("text", "lang")
+
+
+@query("op8_source_mixing", mixing.ORACLE_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = table(spark, sf, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mixing.take(checkpointed(sizes)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k, *_ in secrets.SHAPES],
+        F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.listed(F.concat("base_spans", "added_spans")).alias("spans"))
