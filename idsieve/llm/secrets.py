@@ -40,8 +40,8 @@ RESULTS = ("base_spans", "added_spans")
 @dataclass(frozen=True)
 class Scan:
     min_length: int = 16
-    min_mean: float = 0.9
-    min_total: float = 20.0
+    min_mean: float = 0.3
+    min_total: float = 8.0
     smoothing: float = 0.5
     #: Rows, picked by a hash of their text, that random strings and ordinary words are learned from, about.
     random_rows: int = 20_000
