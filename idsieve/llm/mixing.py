@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idsieve.llm.shared import written
 from idsieve.llm.words import plain_columns
 
 BINS = 65_536
@@ -82,7 +83,8 @@ def take(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id") -> DataFrame:
         .withColumn("_missing", F.greatest(F.lit(0).cast("long"),
                                            F.round("target").cast("long") - F.col("_whole") * F.col("source_size")))
     )
-    d = d.join(t, ["_s", "_same"])
+    # One row per source, and one per source below: written, so that their size is known when the joins are planned.
+    d = d.join(written(t, "mix-targets"), ["_s", "_same"])
     u = random_unit(F.col(key))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     # Odds grow with u inside a source, so bins of u are bins of the rank.
@@ -95,7 +97,7 @@ def take(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id") -> DataFrame:
         .filter((F.col("_before") <= F.col("_missing")) & (F.col("_before") + F.col("_in") > F.col("_missing")))
         .select("_s", "_same", F.col("_bin").alias("_edge"), "_before")
     )
-    d = d.join(bins, ["_s", "_same"], "left")
+    d = d.join(written(bins, "mix-edges"), ["_s", "_same"], "left")
     inside = F.col("_bin") == F.col("_edge")
     rank = Window.partitionBy("_s", "_same").orderBy("_odds", key, "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = d.filter(inside).withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(rank), F.lit(0)))
