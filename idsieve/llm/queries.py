@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import mixing, quality, secrets
+from idsieve.llm import mixing, quality, secrets, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -50,3 +50,15 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k, *_ in secrets.SHAPES],
         F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"),
         secrets.listed(F.concat("base_spans", "added_spans")).alias("spans"))
+
+
+def vocabulary() -> str:
+    """The vocabulary file that the queries use; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf, "documents"), vocabulary())
