@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import mixing, quality, secrets, tokens
+from idsieve.llm import mixing, packing, quality, secrets, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -62,3 +62,8 @@ def vocabulary() -> str:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"), vocabulary())
+
+
+@query("op3_mixture_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), vocabulary())
