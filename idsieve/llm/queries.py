@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import mixing, packing, quality, secrets, tokens
+from idsieve.llm import language, mixing, packing, quality, secrets, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -67,3 +67,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_mixture_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary())
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    profiles = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    return language.predict(docs, profiles).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
