@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, mixing, packing, quality, secrets, tokens
+from idsieve.llm import language, mixing, packing, pages, quality, secrets, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -74,3 +74,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     profiles = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
     return language.predict(docs, profiles).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_page_text")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
