@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, mixing, packing, pages, quality, secrets, tokens
+from idsieve.llm import language, mixing, packing, pages, quality, secrets, simhash, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -80,3 +80,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     found = pages.extract(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
