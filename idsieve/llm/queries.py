@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, mixing, packing, pages, quality, secrets, simhash, tokens
+from idsieve.llm import language, mixing, neighbours, packing, pages, quality, secrets, simhash, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -86,3 +86,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.groups(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op2_nearest_vectors")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
