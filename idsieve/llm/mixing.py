@@ -12,7 +12,7 @@ the one where the sum crosses the missing words are taken whole, and only that b
 Only DataFrame functions run here. Defined results: a null text has size 0; documents of size 0
 take 0; null is a source of its own, last in order; a null id has its own fixed hash; repeated rows
 share a rank and stand next to each other; an empty table gives an empty result; all input columns
-stay, and inputs that already have a result column are refused.
+stay, but a result replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idsieve.llm.shared import written
-from idsieve.llm.words import plain_columns
+from idsieve.llm.words import held, released
 
 BINS = 65_536
 DIGITS = 13  # hexadecimal digits of the hash that make the random number
@@ -72,7 +72,7 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def take(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id") -> DataFrame:
     """``docs`` (with ``source`` and ``size``) and ``source_size``, ``target`` and ``taken``."""
-    plain_columns(docs, "source_size", "target", "taken", "_u", "_odds", "_bin")
+    columns, docs = docs.columns, held(docs, *{key: 0, "source": 0, "size": 0})
     t = targets(docs, mix).withColumn("_same", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     d = docs.withColumn("_same", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit("")))
     t = (
@@ -108,8 +108,8 @@ def take(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id") -> DataFrame:
         "_extra", F.when((F.col("_missing") > 0) & (F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge"))),
                          F.col("size")).otherwise(0))
     both = extra.unionByName(edge.withColumn("_extra", left).drop("_start"))
-    return both.withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")).select(
-        *docs.columns, "source_size", "target", "taken")
+    return both.withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")).transform(
+        released, columns, "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""

@@ -10,7 +10,7 @@ words outside of every shape are ordinary.
 Only DataFrame functions run here. Positions are code points, ends exclusive, in the whole text.
 Defined results: null and empty texts have no spans; if either label has no sample, no span is added
 (no model can be compared); repeated rows are scanned alike; an empty table gives an empty result; all
-input columns stay, and inputs that already have a result column are refused.
+input columns stay, but a result replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idsieve.functions.common import let
-from idsieve.llm.words import plain_columns
+from idsieve.llm.words import held, released
 
 # The shapes, in the order in which equal starts are listed.
 ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
@@ -130,18 +130,17 @@ def _ratio(token: Column, model: list[float]) -> Column:
 
 def scan(docs: DataFrame, model: list[float] | None, how: Scan = Scan()) -> DataFrame:
     """``docs`` with the arrays ``base_spans`` and ``added_spans`` of (start, rank, kind, end)."""
-    plain_columns(docs, *RESULTS, "_text")
-    out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    out = held(docs, "text").withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     out = out.withColumn("base_spans", base_spans(F.col("_text")))
     if model is None:
-        return out.withColumn("added_spans", F.array().cast(SPAN)).drop("_text")
+        return released(out.withColumn("added_spans", F.array().cast(SPAN)), docs.columns, *RESULTS)
     clear = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     runs = F.filter(_runs(F.col("_text"), rf"[A-Za-z0-9+/_=-]{{{how.min_length},}}", 0), clear)
     odd = F.filter(runs, lambda x: let(_ratio(x["value"], model), lambda r: (
         (r >= how.min_total) & (r >= how.min_mean * F.length(x["value"])))))
     added = F.transform(odd, lambda x: F.struct(
         x["start"].alias("start"), F.lit(len(SHAPES)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
-    return out.withColumn("added_spans", added.cast(SPAN)).drop("_text")
+    return released(out.withColumn("added_spans", added.cast(SPAN)), docs.columns, *RESULTS)
 
 
 def listed(spans: Column) -> Column:
@@ -151,7 +150,6 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """Texts with every span of a scan replaced by ``mark``; overlapping spans become one."""
-    plain_columns(docs, "_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
     text = F.col("text")
 

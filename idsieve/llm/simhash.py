@@ -20,6 +20,7 @@ text stay out of the fingerprint step; texts are read whole, whatever their leng
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,9 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idsieve.functions.common import let
 from idsieve.llm.components import components
 from idsieve.llm.shared import written
 from idsieve.llm.tokens import blocks
+from idsieve.llm.words import held, released, words
 
 SEED = 42
 #: Fixed value: multiplier and shifts of the public 64-bit finaliser that makes further words of a fingerprint.
@@ -45,6 +48,7 @@ class Search:
     radius: int = 2
     partitions: int = 3
     bucket: int = 32
+    reach: int = 3  # the largest threshold of one partition, plus one
 
 
 def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> list[int]:
@@ -97,8 +101,8 @@ def _bits(b: pa.RecordBatch, first: int, words: int) -> np.ndarray:
 class Plan:
     """Partitions of the bits, and tables from which candidate counts are estimated."""
 
-    def __init__(self, groups: list[list[int]], radius: int):
-        self.groups, self.radius = groups, radius
+    def __init__(self, groups: list[list[int]], radius: int, reach: int):
+        self.groups, self.reach = groups, min(reach, radius + 1)
         self.halves = [(g[:len(g) // 2], g[len(g) // 2:]) for g in groups]
         self.units = radius + 1  # of threshold plus one, over all partitions
         self.total = 0
@@ -120,7 +124,7 @@ class Plan:
                 hist, cells = flat[2 * i + side], np.arange(1 << len(places))
                 both.append(np.stack([
                     sum((hist[cells ^ sum(1 << c for c in flip)] for flip in combinations(range(len(places)), d)), np.zeros(len(cells)))
-                    for d in range(self.units)], axis=1))
+                    for d in range(self.reach)], axis=1))
             self.near.append(tuple(both))
 
     def thresholds(self, x: np.ndarray) -> np.ndarray:
@@ -131,13 +135,13 @@ class Plan:
         for (a, b), (near_a, near_b), g in zip(self.halves, self.near, self.groups, strict=True):
             in_a, in_b = near_a[self.value(x, a)], near_b[self.value(x, b)]
             cost, probes, seen = [np.zeros(n)], 0, np.zeros(n)
-            for d in range(u):
+            for d in range(self.reach):
                 seen = seen + sum(in_a[:, k] * in_b[:, d - k] for k in range(d + 1)) / max(self.total, 1)
                 probes += len(list(combinations(range(len(g)), d)))
                 cost.append(seen + probes)
             new, pick = np.full((n, u + 1), np.inf), np.zeros((n, u + 1), dtype=np.int64)
             for s in range(u + 1):
-                for c in range(s + 1):
+                for c in range(min(s, self.reach) + 1):
                     v = best[:, s - c] + cost[c]
                     better = v < new[:, s]
                     new[better, s], pick[better, s] = v[better], c
@@ -150,10 +154,16 @@ class Plan:
         return out
 
 
-def deal(corr: np.ndarray, partitions: int) -> list[list[int]]:
-    """Groups of bits of nearly equal number; each starts with a free bit and takes the freest most correlated ones."""
+def deal(corr: np.ndarray, partitions: int, turn: int = 0) -> list[list[int]]:
+    """Groups of bits of nearly equal number, each grown from a free bit by those most correlated with it.
+
+    Later turns weigh correlations at random, so that they group the bits anew.
+    """
     free, groups = set(range(len(corr))), []
     strength = np.abs(corr - np.diag(np.diag(corr)))
+    if turn:
+        noise = np.random.default_rng(turn).random(corr.shape)
+        strength = (strength + strength.mean()) * (noise + noise.T)
     for k in range(partitions):
         size = -(-len(free) // (partitions - k))
         group = [max(sorted(free), key=lambda i: strength[i, sorted(free)].sum())]
@@ -166,7 +176,7 @@ def deal(corr: np.ndarray, partitions: int) -> list[list[int]]:
     return groups
 
 
-def fit(entries: DataFrame, how: Search, total: int) -> Plan:
+def fit(entries: DataFrame, how: Search, total: int, turns: int = 1) -> list[Plan]:
     """Partitions and histograms from all entries; what comes back is bounded by the bits of a fingerprint."""
     words = how.bits // 64
     names = [f"p{k}" for k in range(words)]
@@ -185,10 +195,11 @@ def fit(entries: DataFrame, how: Search, total: int) -> Plan:
     sums = sums.reshape(how.bits + 1, -1) / max(total, 1)
     mean = sums[-1, :-1]
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-    plan = Plan(deal((sums[:-1, :-1] - np.outer(mean, mean)) / np.outer(spread, spread), how.partitions), how.radius)
+    corr = (sums[:-1, :-1] - np.outer(mean, mean)) / np.outer(spread, spread)
+    plans = [Plan(deal(corr, how.partitions, t), how.radius, how.reach) for t in range(turns)]
+    halves = [h for plan in plans for pair in plan.halves for h in pair]
 
     def histograms(batches):
-        halves = [h for pair in plan.halves for h in pair]
         counts = [np.zeros(1 << len(h), dtype=np.int64) for h in halves]
         for b in batches:
             x = _bits(b, 0, words)
@@ -199,12 +210,17 @@ def fit(entries: DataFrame, how: Search, total: int) -> Plan:
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(at), pa.array(c[at])], ["half", "value", "n"])
 
     rows = entries.select(*names).mapInArrow(histograms, "half int, value long, n long").groupBy("half", "value").agg(F.sum("n").alias("n")).collect()
-    plan.tally([(r["half"], r["value"], r["n"]) for r in rows], total)
-    return plan
+    for t, plan in enumerate(plans):
+        first = t * 2 * how.partitions
+        plan.tally([(r["half"] - first, r["value"], r["n"]) for r in rows if 0 <= r["half"] - first < 2 * how.partitions], total)
+    return plans
+
 
+def signatures(entries: DataFrame, plan: Plan, how: Search, own_only: bool = False, turn: int = 0) -> DataFrame:
+    """(bucket, probe, node, p0 ...): each entry once per partition as a member, and once per value that it probes.
 
-def signatures(entries: DataFrame, plan: Plan, how: Search) -> DataFrame:
-    """(bucket, probe, node, p0 ...): each entry once per partition, and once per value that it probes beside its own role."""
+    With ``own_only`` a probe of the entry's own value is left out, as its member row stands for both.
+    """
     words = how.bits // 64
     names = [f"p{k}" for k in range(words)]
 
@@ -216,11 +232,11 @@ def signatures(entries: DataFrame, plan: Plan, how: Search) -> DataFrame:
                 t = plan.thresholds(x)
                 rows, buckets, probe = [], [], []
                 for k, g in enumerate(plan.groups):
-                    own = Plan.value(x, g) | (k << 40)
+                    own = Plan.value(x, g) | ((turn * how.partitions + k) << 36)
                     rows.append(np.arange(len(x)))
                     buckets.append(own)
                     probe.append(np.zeros(len(x), dtype=bool))
-                    for d in range(int(t[:, k].max(initial=0))):
+                    for d in range(int(own_only), int(t[:, k].max(initial=0))):
                         who = np.flatnonzero(t[:, k] > d)
                         for flip in combinations(range(len(g)), d):
                             rows.append(who)
@@ -247,7 +263,7 @@ def links(entries: DataFrame, how: Search = Search()) -> DataFrame:
     if how.radius > 2 or how.bits != 64:
         raise ValueError("links of one-word fingerprints are exact up to radius 2")
     total = entries.count()
-    plan = fit(entries, how, total)
+    plan = fit(entries, how, total)[0]
     rows = written(signatures(entries, plan, how), "signatures")
     index, probes = rows.filter(~F.col("probe")), rows.filter("probe")
     crowded = written(index.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > how.bucket).select("bucket"), "crowded")
@@ -278,3 +294,71 @@ def groups(docs: DataFrame, how: Search = Search(), key: str = "doc_id") -> Data
     found = components(links(entries.filter(F.col("node").isNotNull()), how))
     named = entries.join(found, "node", "left").select("p0", F.coalesce("component", "node").alias("component"))
     return prints.join(named, "p0").select(F.col("key").alias(key), "p0", "component")
+
+
+def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
+    """(node, shingles): hashes of the distinct shingles of ``text``, in lower case."""
+    w = F.transform(words(F.col("text")), lambda x: F.lower(x))
+
+    def cut(a: Column) -> Column:
+        n = F.size(a)
+        rest = lambda i: [F.get(a, i + k) for k in range(1, words_each)]
+        many = F.transform(F.slice(a, 1, n - words_each + 1), lambda x, i: F.xxhash64(x, *rest(i)))
+        return F.when(n < words_each, F.array(F.xxhash64(F.array_join(a, " ")))).otherwise(F.array_distinct(many))
+
+    return docs.select("node", let(w, cut).alias("shingles"))
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, bits: int = 256, misses: float = 0.05,
+                    key: str = "doc_id") -> DataFrame:
+    """One row of each group of near-duplicates: the one with the least key, then the least text hash.
+
+    Texts are linked when their sets of shingles have a Jaccard similarity of ``similarity`` or more, which
+    is verified on the sets. At that similarity about a seventh of all bits differ, far beyond a radius
+    that probing can guarantee, so the bits are grouped anew in as many turns as leave a pair at the limit
+    unseen with probability ``misses`` at most. In a bucket, entries are compared with its least and its largest
+    entry: three entries are thus compared in full, and larger buckets stay linear in size.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    rows = held(docs, key, "text").withColumnRenamed(key, "key").withColumn("digest", digest)
+    node = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    copies = rows.groupBy("key", "digest").agg(F.count("*").alias("n"))
+    copies = written(copies.withColumn("node", node), "copies")
+    texts = rows.withColumn("node", node).join(
+        copies.groupBy("node").agg(F.min("key").alias("key")).withColumnRenamed("key", "least"), "node").filter(
+        F.col("key").eqNullSafe(F.col("least"))).select("node", "text")
+    count = max(2, copies.select("node").distinct().count())
+    # Bits a partition needs to keep chance meetings few, and turns that reach pairs at the limit.
+    width = int(np.ceil(np.log2(count))) + 4
+    overlap = 2 * similarity / (1 + similarity)
+    agree = 1 - np.arccos(overlap) / np.pi
+    parts = max(2, bits // min(width, 32))
+    turns = int(np.ceil(-np.log(misses) / (parts * agree ** (bits / parts))))
+    how = Search(words_each, bits, parts - 1, parts, reach=2)
+    names = [f"p{k}" for k in range(bits // 64)]
+    prints = written(fingerprints(texts, how, "node").withColumnRenamed("key", "node").dropDuplicates(["node"]), "fingerprints")
+    plans = fit(prints, how, count, turns)
+    meet = written(reduce(DataFrame.unionByName, [
+        signatures(prints, plan, how, own_only=True, turn=t).select("bucket", "node") for t, plan in enumerate(plans)]), "signatures")
+    ends = meet.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") < F.col("hi"))
+    met = meet.join(ends, "bucket")
+    pairs = met.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).unionByName(
+        met.select(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b"))).filter(F.col("a") < F.col("b")).distinct()
+    side = lambda at, to: prints.select(F.col("node").alias(at), *[F.col(p).alias(f"{to}{p}") for p in names])
+    limit = int(bits * (1 - agree) + 5 * (bits * agree * (1 - agree)) ** 0.5)
+    near = apart([F.col(f"x{p}") for p in names], [F.col(f"y{p}") for p in names]) <= limit
+    pairs = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(near).select("a", "b"), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(shingle_sets(texts.join(wanted, "node", "left_semi"), words_each).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    edges = both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+    found = components(edges)
+    group = F.coalesce("component", "node")
+    kept = copies.join(found, "node", "left").groupBy(group.alias("group")).agg(F.min(F.struct("key", "digest", "n")).alias("first"))
+    kept = kept.select(F.col("first.key").alias("least"), F.col("first.digest").alias("digest"), F.col("first.n").alias("n"))
+    stay = rows.join(kept, ["digest"]).filter(F.col("key").eqNullSafe(F.col("least")))
+    # A row that is there several times stays once.
+    once = stay.filter(F.col("n") > 1).dropDuplicates(["key", "digest"])
+    return released(stay.filter(F.col("n") == 1).unionByName(once), docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
@@ -19,8 +19,15 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def plain_columns(df, *taken: str) -> None:
-    """Refuse inputs whose columns would be overwritten by result columns."""
-    clash = [c for c in taken if c in df.columns]
-    if clash:
-        raise ValueError(f"input already has {clash}; rename them first")
+HOLD = "__row"
+
+
+def held(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, with the whole row beside them where no working column can clash with it."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(HOLD))
+
+
+def released(df: DataFrame, columns: list[str], *results: str) -> DataFrame:
+    """The input's columns again, and the results; a result replaces an input column of its name."""
+    rest = [F.col(HOLD)[c].alias(c) for c in columns if c.lower() not in {r.lower() for r in results}]
+    return df.select(*rest, *results)
