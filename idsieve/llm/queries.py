@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, mixing, neighbours, packing, pages, quality, secrets, simhash, tokens
+from idsieve.llm import language, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -92,3 +92,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return neighbours.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
+
+
+@query("op5_repeated_passages")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.remove(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
