@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from idsieve.functions.common import case
 from idsieve.functions.fixed import GENESIS_HASH
-from idsieve.operators.ordered import lag_in_order, top_k_per_key
+from idsieve.operators.ordered import lag_in_order, number_in_order, top_k_per_key
 
 BUCKET_ROWS = 1_000_000
 
@@ -101,6 +101,8 @@ def verify(events: DataFrame, keys: tuple[str, ...] = ("case_id",), bucket_rows:
     return chain_status(links(events, keys, bucket_rows), keys)
 
 
-def by_case(events: DataFrame, limit: int = 100) -> DataFrame:
-    """First ``limit`` events of each case in order."""
-    return top_k_per_key(events, ["case_id"], [F.asc("id")], limit)
+def by_case(events: DataFrame, limit: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Events of each case in order with their ``rank``: all of them, or a first page of ``limit``."""
+    if limit is not None:
+        return top_k_per_key(events, ["case_id"], [F.asc("id")], limit)
+    return number_in_order(events, ["case_id"], ["id"], F.floor(F.col("id") / bucket_rows), "rank")

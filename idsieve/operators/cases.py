@@ -58,8 +58,10 @@ def case_summary(cases: DataFrame) -> DataFrame:
 
 
 def newest(cases: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest cases first; at most 200 are listed."""
-    return cases.orderBy(F.desc("case_id")).limit(min(limit, 200))
+    """The ``limit`` newest cases: by year, then by number, whatever its count of digits."""
+    parts = F.split("case_id", "-")
+    number = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("long")
+    return cases.orderBy(F.desc_nulls_last(number(-2)), F.desc_nulls_last(number(-1)), F.desc("case_id")).limit(limit)
 
 
 def parsed_evidence(text: Column) -> Column:
@@ -71,9 +73,9 @@ def evidence_value(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def case_detail(cases: DataFrame, audit: DataFrame, limit: int = 100) -> DataFrame:
-    """Case with its first ``limit`` audit rows in order."""
-    first = top_k_per_key(audit, ["case_id"], [F.asc("id")], limit)
+def case_detail(cases: DataFrame, audit: DataFrame, limit: int | None = None) -> DataFrame:
+    """Case with its audit rows in order: all of them, or a first page of ``limit``."""
+    first = audit if limit is None else top_k_per_key(audit, ["case_id"], [F.asc("id")], limit)
     rows = first.groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("id", "action", "actor", "summary", "entry_hash"))).alias("audit"))
     return cases.join(rows, "case_id", "left")

@@ -118,7 +118,7 @@ def checks_column(d: DataFrame) -> DataFrame:
                   (x["status"].isin("UNCERTAIN", "NOT_FOUND"), "WARNING"), otherwise="NOT_ASSESSED")
         return _row(F.concat(F.lit("ocr_visual_"), x["field"]), st)
 
-    visual = F.transform(F.slice("ocr_visual", 1, 8), region)
+    visual = F.transform("ocr_visual", region)
     return d.withColumn("checks", F.concat(
         fixed.cast(kind), F.coalesce(dates.cast(kind), none), F.coalesce(visual.cast(kind), none)))
 

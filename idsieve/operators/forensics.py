@@ -89,13 +89,12 @@ def height_bands(regions: DataFrame) -> DataFrame:
     return med.join(mad, "doc_id")
 
 
-def height_outliers(regions: DataFrame, keep: int = 12) -> DataFrame:
+def height_outliers(regions: DataFrame) -> DataFrame:
     """Regions much taller than their page's others; pages of three regions or more."""
     h = r(F.col("relative_height"), 5)
-    odd = regions.join(height_bands(regions), "doc_id").filter(
+    return regions.join(height_bands(regions), "doc_id").filter(
         (F.col("region_count") >= 3)
         & (F.abs(h - F.col("median_height")) / F.col("mad") > 6.0) & (h > F.col("median_height") * 2.5))
-    return top_k_per_key(odd, ["doc_id"], [F.asc("box_ord")], keep)
 
 
 def alignment(regions: DataFrame) -> DataFrame:
@@ -122,14 +121,13 @@ def splice(regions: DataFrame) -> DataFrame:
     })
 
 
-def splice_summary(regions: DataFrame, look: int = 40, keep: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(per page anomaly count over the first ``look`` regions, first ``keep`` flagged rows)."""
-    first = splice(top_k_per_key(regions, ["doc_id"], [F.asc("box_ord")], look))
-    flagged = first.filter("splice_status <> 'NO_CLEAR_ANOMALY'")
-    per_doc = first.groupBy("doc_id").agg(
+def splice_summary(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per page anomaly count over all regions, flagged rows)."""
+    every = splice(regions)
+    per_doc = every.groupBy("doc_id").agg(
         F.count_if(F.col("splice_status") == "ANOMALY_DETECTED").alias("anomaly_count"),
         F.count(F.lit(1)).alias("regions_read"))
-    return per_doc, top_k_per_key(flagged.drop("rank"), ["doc_id"], [F.asc("box_ord")], keep)
+    return per_doc, every.filter("splice_status <> 'NO_CLEAR_ANOMALY'")
 
 
 def text_cross(has_box: Column, crop_px: Column, sharpness: Column) -> Column:
@@ -138,10 +136,9 @@ def text_cross(has_box: Column, crop_px: Column, sharpness: Column) -> Column:
         (sharpness > 20, "CONSISTENT"), otherwise="UNCERTAIN")
 
 
-def cross_check(fields: DataFrame, region_stats: DataFrame, keep: int = 20) -> DataFrame:
-    """Field against its image region; the first ``keep`` fields of a document are shown."""
-    shown = top_k_per_key(fields, ["doc_id"], [F.asc("ord")], keep)
-    return shown.join(region_stats, ["doc_id", "field"], "left").withColumn(
+def cross_check(fields: DataFrame, region_stats: DataFrame) -> DataFrame:
+    """Every field against its image region."""
+    return fields.join(region_stats, ["doc_id", "field"], "left").withColumn(
         "status", text_cross(F.col("bbox").isNotNull(), F.col("crop_px"), F.col("sharpness")))
 
 
@@ -169,9 +166,7 @@ def metadata(tags: Column) -> Column:
     """struct(status, tag_count, tags_sample, suspicious) of an EXIF tag map."""
     n = F.coalesce(F.size(tags), F.lit(0))
     n = F.greatest(n, F.lit(0))
-    entries = F.slice(F.array_sort(F.map_entries(tags)), 1, 12)
-    sample = F.map_from_entries(F.transform(
-        entries, lambda e: F.struct(e["key"], F.left(e["value"], F.lit(120)))))
+    sample = F.map_from_entries(F.array_sort(F.map_entries(tags)))
     return F.struct(
         F.when(n > 0, F.lit("PRESENT")).otherwise(F.lit("UNAVAILABLE")).alias("status"),
         n.alias("tag_count"), sample.alias("tags_sample"), F.lit(False).alias("suspicious"))

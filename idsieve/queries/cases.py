@@ -185,7 +185,7 @@ CUR = f"""SELECT case_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UNKNOWN' ELSE '
 query("sink_case_update", f"SELECT case_id, decision, confidence FROM ({CUR}) c")(
     lambda s, sf: oc.case_summary(current(s, sf)).select("case_id", "decision", "confidence"))
 query("case_summary", f"SELECT case_id, document_type, decision, authenticity_estimate, confidence, evidence_quality, reviewer_status FROM ({CUR}) c")(lambda s, sf: oc.case_summary(current(s, sf)))
-query("top_cases", f"SELECT case_id, decision FROM ({CUR}) c ORDER BY case_id DESC LIMIT 50")(lambda s, sf: oc.newest(current(s, sf)).select("case_id", "decision"))
+query("top_cases", f"SELECT case_id, decision FROM ({CUR}) c ORDER BY CAST(split_part(case_id, '-', 2) AS BIGINT) DESC, CAST(split_part(case_id, '-', 3) AS BIGINT) DESC LIMIT 50")(lambda s, sf: oc.newest(current(s, sf)).select("case_id", "decision"))
 query("job_cases", f"SELECT decision, count(*) AS n FROM ({CUR}) c GROUP BY 1")(lambda s, sf: oc.case_summary(current(s, sf)).groupBy("decision").agg(F.count(F.lit(1)).alias("n")))
 _HASJ = "doc_id % 3 <> 0 AND doc_id % 7 <> 0"
 query("src_evidence_json", f"SELECT case_id, CASE WHEN {_HASJ} THEN 'OK' ELSE '' END AS ocr_status FROM ({CUR}) c")(
@@ -232,18 +232,18 @@ _STAT = f"""{CHAIN} SELECT c.case_id, count(*) AS checked, coalesce(min(CASE WHE
 _AS = ["case_id", "checked", "broken_event", "chain_status", "tip_hash"]
 query("agg_chain_status", _STAT)(lambda s, sf: oa.verify(tampered(s, sf), bucket_rows=1000).withColumn("broken_event", F.coalesce("broken_event", F.lit(-1))).select(*_AS))
 query("audit_verify", f"{CHAIN} SELECT id, id % 500 <> 7 AS content_ok FROM c")(lambda s, sf: oa.links(tampered(s, sf), bucket_rows=1000).select("id", "content_ok"))
-query("audit_by_case", f"SELECT case_id, id, rank FROM (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank FROM ({I.plain(ACT)}) x) y WHERE rank <= 30")(
-    lambda s, sf: oa.by_case(I.derive(s, sf, ACT), 30).select("case_id", "id", F.col("rank").cast("long").alias("rank")))
+query("audit_by_case", f"SELECT case_id, id, rank FROM (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank FROM ({I.plain(ACT)}) x) y")(
+    lambda s, sf: oa.by_case(I.derive(s, sf, ACT)).select("case_id", "id", F.col("rank").cast("long").alias("rank")))
 query("job_audit", f"{CHAIN} SELECT chain_status, count(*) AS chains FROM (SELECT case_id, CASE WHEN count_if(id % 500 = 7) > 0 THEN 'BROKEN' ELSE 'VALID' END AS chain_status FROM c GROUP BY case_id) z GROUP BY 1")(
     lambda s, sf: jobs.audit_job(tampered(s, sf)).groupBy("chain_status").agg(F.count(F.lit(1)).alias("chains")))
 
 
 def _detail(spark, sf):
     c = I.derive(spark, sf, ACT).select("case_id").distinct()
-    return oc.case_detail(c, chained(spark, sf), 5)
+    return oc.case_detail(c, chained(spark, sf))
 
 
-_DET = f"{CHAIN} SELECT case_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS events FROM c WHERE rn <= 5 GROUP BY case_id"
+_DET = f"{CHAIN} SELECT case_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS events FROM c GROUP BY case_id"
 query("join_case_audit", _DET)(lambda s, sf: _detail(s, sf).select("case_id", F.array_join(F.transform("audit", lambda a: a["id"].cast("string")), ",").alias("events")))
-query("case_detail", f"{CHAIN} SELECT case_id, count(*) AS n_events, max_by(entry_hash, id) AS last_hash FROM c WHERE rn <= 5 GROUP BY case_id")(
+query("case_detail", f"{CHAIN} SELECT case_id, count(*) AS n_events, max_by(entry_hash, id) AS last_hash FROM c GROUP BY case_id")(
     lambda s, sf: _detail(s, sf).select("case_id", F.size("audit").cast("long").alias("n_events"), F.element_at("audit", -1)["entry_hash"].alias("last_hash")))

@@ -61,7 +61,7 @@ RULES = ", ".join([
     row("fusion", "CASE WHEN fusion_status = 'FUSED' THEN 'PASS' ELSE 'NOT_ASSESSED' END"),
     row("typography", "'WARNING'", None, "typography_anomalies > 0"),
     row("field_issue_after_dob", "'FAIL'", None, "doc_id % 23 = 0"),
-    *[row(f"ocr_visual_f{i}", "'FAIL'" if i == 2 else "'WARNING'" if i == 3 else "'PASS'", None, "doc_id % 6 = 0") for i in range(1, 9)],
+    *[row(f"ocr_visual_f{i}", "'FAIL'" if i == 2 else "'WARNING'" if i == 3 else "'PASS'", None, "doc_id % 6 = 0") for i in range(1, 10)],
 ])
 CHECKS = f"SELECT doc_id, u.item AS item, u.status AS status, u.severity AS severity FROM (SELECT doc_id, unnest(list_filter([{RULES}], lambda x: x IS NOT NULL)) AS u FROM ({EV_SQL}) e) z"
 ROLL = f"""SELECT *, CASE WHEN nf > 0 THEN 'FAIL' WHEN nw > 0 THEN 'WARNING' ELSE 'PASS' END AS cv_overall, CASE WHEN nf > 0 OR nw >= 3 THEN 'elevated' WHEN nw > 0 THEN 'review' ELSE 'info' END AS cv_severity, round(np / (np + nf + nw) + 1e-9, 4) AS cv_pass_rate
@@ -243,10 +243,10 @@ SCREEN = f"""SELECT *, CASE WHEN doc_status = 'AUTHENTIC' AND identity = 'MATCH'
  FROM (SELECT *, CASE WHEN evidence_quality < 0.45 THEN 0 ELSE 1 END + 2 + CASE WHEN severity = 'ELEVATED_REVIEW' THEN 0 ELSE 1 END AS np, {_W1} + CASE WHEN severity = 'ELEVATED_REVIEW' THEN 1 ELSE 0 END AS nw FROM ({I.plain(_SCREEN)}) s) s1) s2"""
 
 
-@query("screen_cases", f"SELECT doc_id, doc_status, identity AS id_status, decision, confidence FROM ({SCREEN}) s ORDER BY doc_id DESC LIMIT 200")
+@query("screen_cases", f"SELECT doc_id, doc_status, identity AS id_status, decision, confidence FROM ({SCREEN}) s")
 def q_screen(spark, sf):
     d = screened(spark, sf)
-    return d.select("doc_id", "doc_status", "id_status", "decision", "confidence").orderBy(F.desc("doc_id")).limit(200)
+    return d.select("doc_id", "doc_status", "id_status", "decision", "confidence")
 
 
 @query("screen_all", f"SELECT doc_status, identity AS id_status, decision, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM ({SCREEN}) s GROUP BY ALL")

@@ -340,7 +340,7 @@ def q_splice(spark, sf):
 _FIRST = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY box_ord) AS rn FROM ({SPLICE}) s"
 
 
-@query("agg_splice_anomalies", f"SELECT doc_id, count_if(splice_status = 'ANOMALY_DETECTED') AS anomaly_count, count(*) AS regions_read FROM ({_FIRST}) f WHERE rn <= 40 GROUP BY doc_id")
+@query("agg_splice_anomalies", f"SELECT doc_id, count_if(splice_status = 'ANOMALY_DETECTED') AS anomaly_count, count(*) AS regions_read FROM ({_FIRST}) f GROUP BY doc_id")
 def q_splice_count(spark, sf):
     return fo.splice_summary(regions(spark, sf))[0]
 
@@ -401,7 +401,7 @@ query("fs_text_cross", f"SELECT doc_id, CASE WHEN face_w IS NULL THEN 'NOT_FOUND
     lambda s, sf: I.derive(s, sf, _FACE).select("doc_id", fo.text_cross(F.col("face_w").isNotNull(), F.col("crop_px"), F.col("sharpness")).alias("status")))
 
 _META_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'UNAVAILABLE' ELSE 'PRESENT' END AS status, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS tag_count, false AS suspicious,
- CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(repeat(o_orderstatus, 150), 120) || '|' || left(o_orderpriority, 120) END AS sample FROM ({_FSQL}) f"""
+ CASE WHEN doc_id % 4 = 0 THEN '' ELSE repeat(o_orderstatus, 150) || '|' || o_orderpriority END AS sample FROM ({_FSQL}) f"""
 
 
 def _meta(spark, sf):
@@ -438,7 +438,7 @@ def q_text_visual(spark, sf):
 
 @query("job_text_visual", f"""SELECT a.doc_id, a.region_count, coalesce(o.n, 0) AS typography_anomalies, s.anomaly_count FROM (SELECT doc_id, count(*) AS region_count FROM ({USABLE}) u GROUP BY doc_id) a
  LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({OUTLIERS}) o GROUP BY doc_id) o ON o.doc_id = a.doc_id
- JOIN (SELECT doc_id, count_if(splice_status = 'ANOMALY_DETECTED') AS anomaly_count FROM ({_FIRST}) f WHERE rn <= 40 GROUP BY doc_id) s ON s.doc_id = a.doc_id""")
+ JOIN (SELECT doc_id, count_if(splice_status = 'ANOMALY_DETECTED') AS anomaly_count FROM ({_FIRST}) f GROUP BY doc_id) s ON s.doc_id = a.doc_id""")
 def job_text_visual(spark, sf):
     from idsieve.plans.jobs import text_visual_job
     return text_visual_job(I.derive(spark, sf, REGIONS)).select("doc_id", "region_count", "typography_anomalies", "anomaly_count")
