@@ -32,7 +32,10 @@ from idsieve.llm.shared import written
 @dataclass(frozen=True)
 class Index:
     k: int = 20
-    probe_share: float = 0.7  # of the lists, nearest first
+    #: Lists probed, nearest first: this factor times a power of the number of lists. The power is below one
+    #: because the same share of more and smaller lists finds more of the neighbours.
+    probe_factor: float = 1.35
+    probe_power: float = 0.84
     fit_rows: int = 16_384
     max_lists: int = 4_096
     chunk: int = 2_048
@@ -41,6 +44,9 @@ class Index:
     rounds: int = 12
     seed: int = 7
 
+    def probed(self, lists: int) -> int:
+        return max(1, min(lists, int(np.ceil(self.probe_factor * lists ** self.probe_power))))
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part."""
@@ -152,7 +158,7 @@ def search(queries: DataFrame, vectors: DataFrame, how: Index = Index(), key: st
 
         return rows.mapInArrow(run, f"list int, id long, vector {kind}")
 
-    members, probing = written(placed(base, 1, "candidates"), "members"), written(placed(asked, max(1, int(np.ceil(how.probe_share * len(space.centroids)))), "queries"), "probing")
+    members, probing = written(placed(base, 1, "candidates"), "members"), written(placed(asked, how.probed(len(space.centroids)), "queries"), "probing")
     size = lambda d: {r["list"]: r["n"] for r in d.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  max_lists rows
     chunks = lambda sizes: F.array(*[F.lit(-(-sizes.get(i, 0) // how.chunk) or 1) for i in range(len(space.centroids))])
     of_members, of_queries = chunks(size(members)), chunks(size(probing))

@@ -104,7 +104,7 @@ def test_neighbours(spark):
     inf = float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (8, [1.0]), (9, [])]
     v = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, id string")
-    out = neighbours.search(v, v, neighbours.Index(k=3, probe_share=1.0)).collect()
+    out = neighbours.search(v, v, neighbours.Index(k=3, probe_factor=100.0)).collect()
     near = {}
     for r in out:
         near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
