@@ -116,24 +116,30 @@ def scan(space: Space, how: Index, query_ids: np.ndarray, q: np.ndarray, ids: np
     edges = [*range(0, width, how.block), width]
     # Column blocks, each with its rows together.
     columns = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges, edges[1:])]
-    out = []
-    for i in range(len(goal)):
-        left, limit = np.flatnonzero(ids != query_ids[i]), np.inf
-        first = left[:4 * how.k]
-        if len(left) > len(first) >= how.k:
-            limit = np.partition(((turned[first] - goal[i]) ** 2).sum(1), how.k - 1)[how.k - 1]
-        part = np.zeros(len(left))
-        for (a, b), c in zip(zip(edges, edges[1:]), columns):
-            part = part + ((c[left] - goal[i, a:b]) ** 2).sum(1)
-            if b < width:
-                keep = part <= limit * (b / width) * (1 + how.slack / b ** 0.5) ** 2
-            else:
-                keep = part <= limit * (1 + 1e-9)
-            left, part = left[keep], part[keep]
-        score = x[left] @ q[i]
-        best = np.lexsort((ids[left], -score))[:how.k]
-        out.append((np.full(len(best), query_ids[i]), ids[left][best], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    norms, found = (columns[0] ** 2).sum(1), []
+    for i in range(0, len(goal), 128):
+        g, asked = goal[i:i + 128], query_ids[i:i + 128]
+        own = ids[None, :] == asked[:, None]
+        limit, head = np.full(len(g), np.inf), turned[:4 * how.k]
+        if len(ids) > len(head) > how.k:
+            far = (head ** 2).sum(1) + (g ** 2).sum(1)[:, None] - 2 * g @ head.T
+            limit = np.partition(np.where(own[:, :len(head)], np.inf, far), how.k - 1, axis=1)[:, how.k - 1]
+        # The first block for all pairs at once; later ones only for the pairs that are left.
+        part = norms + (g[:, :edges[1]] ** 2).sum(1)[:, None] - 2 * g[:, :edges[1]] @ columns[0].T
+        most = lambda b: limit * (1 + 1e-9) if b == width else limit * (b / width) * (1 + how.slack / b ** 0.5) ** 2 + 1e-9
+        who, cand = np.nonzero((part <= most(edges[1])[:, None]) & ~own)
+        part = part[who, cand]
+        for (a, b), c in zip(zip(edges[1:], edges[2:]), columns[1:]):
+            part = part + ((c[cand] - g[who, a:b]) ** 2).sum(1)
+            keep = part <= most(b)[who] + 1e-9
+            who, cand, part = who[keep], cand[keep], part[keep]
+        score = np.einsum("ij,ij->i", x[cand], q[i:i + 128][who])
+        order = np.lexsort((ids[cand], -score, who))
+        who, cand, score = who[order], cand[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        best = rank < how.k
+        found.append((asked[who[best]], ids[cand[best]], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def search(queries: DataFrame, vectors: DataFrame, how: Index = Index(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
