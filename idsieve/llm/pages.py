@@ -190,11 +190,14 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     rows = pages.select(F.col(key).alias("key"), F.col("url").cast("string").alias("url"), "html")
     parsed = rows.mapInArrow(parse, f"key {kind}, url string, host string, path string, lines {LINES}")
+    parsed = written(parsed, "pages")
+    # Pages whose markup shows the article need no partner; the others are paired among themselves.
+    marked = F.exists("lines", lambda x: x["own"])
+    whole = parsed.filter(marked).select("key", "url", F.array_join(F.transform("lines", lambda x: x["text"]), "\n\n").alias("text"))
     order = ["host", "path", "key"]
-    table = written(parsed.repartitionByRange(*order).sortWithinPartitions(*order)
-                    .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "pages")
-    # What a page shows a neighbour: its lines that are not marked as its own.
-    shown = F.struct("host", "path", F.transform(F.filter("lines", lambda x: ~x["own"]), lambda x: x["text"]).alias("lines"))
+    table = written(parsed.filter(~marked).repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "unmarked")
+    shown = F.struct("host", "path", F.transform("lines", lambda x: x["text"]).alias("lines"))
     table = table.withColumn("shown", shown)
     ends = table.groupBy("part").agg(F.min_by("shown", "pos").alias("first"), F.max_by("shown", "pos").alias("last"))
     across = Window.orderBy("part")
@@ -210,12 +213,12 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 texts = []
                 for r in b.slice(i, 500).select(["host", "path", "lines", "prev", "next"]).to_pylist():
                     keep = [x["text"] for x in r["lines"]]
-                    if not any(x["own"] for x in r["lines"]):
-                        other = nearer(r["path"], r["prev"], r["next"], r["host"])
-                        gone = shared_lines(keep, other["lines"]) if other else set()
-                        keep = [x for k, x in enumerate(keep) if k not in gone]
+                    other = nearer(r["path"], r["prev"], r["next"], r["host"])
+                    gone = shared_lines(keep, other["lines"]) if other else set()
+                    keep = [x for k, x in enumerate(keep) if k not in gone]
                     texts.append("\n\n".join(keep))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, 500), b.column(1).slice(i, 500), pa.array(texts, pa.string())], ["key", "url", "text"])
 
-    return paired.mapInArrow(difference, f"key {kind}, url string, text string").withColumnRenamed("key", key)
+    cleaned = paired.mapInArrow(difference, f"key {kind}, url string, text string")
+    return whole.unionByName(cleaned).withColumnRenamed("key", key)
