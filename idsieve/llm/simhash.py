@@ -216,19 +216,21 @@ def fit(entries: DataFrame, how: Search, total: int, turns: int = 1) -> list[Pla
     return plans
 
 
-def signatures(entries: DataFrame, plan: Plan, how: Search, own_only: bool = False, turn: int = 0) -> DataFrame:
+def signatures(entries: DataFrame, plan: Plan, how: Search, own_only: bool = False, turn: int = 0,
+               keep: tuple[str, ...] = ("node",)) -> DataFrame:
     """(bucket, probe, node, p0 ...): each entry once per partition as a member, and once per value that it probes.
 
     With ``own_only`` a probe of the entry's own value is left out, as its member row stands for both.
+    ``keep`` names the long columns that go with every row.
     """
     words = how.bits // 64
-    names = [f"p{k}" for k in range(words)]
+    names = [*keep, *[f"p{k}" for k in range(words)]]
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                x = _bits(part, 1, words)
+                x = _bits(part, len(keep), words)
                 t = plan.thresholds(x)
                 rows, buckets, probe = [], [], []
                 for k, g in enumerate(plan.groups):
@@ -245,9 +247,9 @@ def signatures(entries: DataFrame, plan: Plan, how: Search, own_only: bool = Fal
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(buckets)), pa.array(np.concatenate(probe)), *[c.take(at) for c in part.columns]],
-                    ["bucket", "probe", "node", *names])
+                    ["bucket", "probe", *names])
 
-    return entries.select("node", *names).mapInArrow(run, ", ".join(["bucket long, probe boolean, node long", *[f"{p} long" for p in names]]))
+    return entries.select(*names).mapInArrow(run, ", ".join(["bucket long, probe boolean", *[f"{p} long" for p in names]]))
 
 
 def apart(a: list[Column], b: list[Column]) -> Column:
@@ -317,7 +319,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
     is verified on the sets. At that similarity about a seventh of all bits differ, far beyond a radius
     that probing can guarantee, so the bits are grouped anew in as many turns as leave a pair at the limit
     unseen with probability ``misses`` at most. In a bucket, entries are compared with its least and its largest
-    entry: three entries are thus compared in full, and larger buckets stay linear in size.
+    entry: three entries are thus compared in full, and larger buckets stay linear in size. The first turn's
+    links to least entries are verified before; pairs that these connect already are not looked at again.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = held(docs, key, "text").withColumnRenamed(key, "key").withColumn("digest", digest)
@@ -338,23 +341,37 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
     names = [f"p{k}" for k in range(bits // 64)]
     prints = written(fingerprints(texts, how, "node").withColumnRenamed("key", "node").dropDuplicates(["node"]), "fingerprints")
     plans = fit(prints, how, count, turns)
-    meet = written(reduce(DataFrame.unionByName, [
-        signatures(prints, plan, how, own_only=True, turn=t).select("bucket", "node") for t, plan in enumerate(plans)]), "signatures")
-    ends = meet.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(F.col("lo") < F.col("hi"))
-    met = meet.join(ends, "bucket")
-    pairs = met.select(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")).unionByName(
-        met.select(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b"))).filter(F.col("a") < F.col("b")).distinct()
     side = lambda at, to: prints.select(F.col("node").alias(at), *[F.col(p).alias(f"{to}{p}") for p in names])
     limit = int(bits * (1 - agree) + 5 * (bits * agree * (1 - agree)) ** 0.5)
     near = apart([F.col(f"x{p}") for p in names], [F.col(f"y{p}") for p in names]) <= limit
-    pairs = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(near).select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_sets(texts.join(wanted, "node", "left_semi"), words_each).dropDuplicates(["node"]), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    edges = both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
-    found = components(edges)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough."""
+        close = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(near).select("a", "b"), "candidates")
+        wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        sets = written(shingle_sets(texts.join(wanted, "node", "left_semi"), words_each).dropDuplicates(["node"]), "shingles")
+        both = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+    # What the first turn's least entries link is one already when all turns are compared.
+    first = written(signatures(prints, plans[0], how, own_only=True).select("bucket", "node"), "first-turn")
+    least = first.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter(F.col("a") < F.col("hi"))
+    linked = components(verified(first.join(least.select("bucket", "a"), "bucket").filter(F.col("a") < F.col("node"))
+                                 .select("a", F.col("node").alias("b")).distinct()))
+    joined = written(prints.join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), "linked")
+    meet = written(reduce(DataFrame.unionByName, [
+        signatures(joined, plan, how, own_only=True, turn=t, keep=("node", "own")).select("bucket", "node", "own")
+        for t, plan in enumerate(plans)]), "signatures")
+    ends = meet.groupBy("bucket").agg(
+        F.min("node").alias("lo"), F.min_by("own", "node").alias("lo_own"), F.max("node").alias("hi"), F.max_by("own", "node").alias("hi_own"),
+        F.min("own").alias("_a"), F.max("own").alias("_b")).filter(F.col("_a") < F.col("_b")).drop("_a", "_b")
+    met = meet.join(ends, "bucket")
+    rest = reduce(DataFrame.unionByName, [
+        met.filter(F.col("own") != F.col(f"{to}_own")).select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b"))
+        for to in ("lo", "hi")]).distinct()
+    found = components(verified(rest).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     group = F.coalesce("component", "node")
     kept = copies.join(found, "node", "left").groupBy(group.alias("group")).agg(F.min(F.struct("key", "digest", "n")).alias("first"))
     kept = kept.select(F.col("first.key").alias("least"), F.col("first.digest").alias("digest"), F.col("first.n").alias("n"))
