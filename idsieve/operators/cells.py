@@ -49,7 +49,7 @@ def pixel_stats(measured: DataFrame) -> DataFrame:
     )
 
 
-def tiles(cells: DataFrame, value: str, size: int, step: int) -> DataFrame:
+def tiles(cells: DataFrame, value: str, size: int | Column, step: int | Column) -> DataFrame:
     """Mean and population deviation per tile of ``size`` taken every ``step``.
 
     Needs img_h and img_w. A tile starts before max(1, side - size), so the

@@ -60,14 +60,22 @@ def features_job(emb: DataFrame, weights, bias, dim: int, prototypes, keep: int
 
 def tamper_job(gray: DataFrame, planes: DataFrame | None, tile: int = 32, block: int = 8, grid: int = 24,
                copy_guard: int | None = 48, edge_threshold: float | None = 160.0,
-               compression: bool = True) -> DataFrame:
+               compression: bool = True, local_tile: int = 48, ela_tile: int | None = None) -> DataFrame:
     """Signals, flags, severity and hotspots from cells. Signals that are switched off or have no
-    plane count 0, and their flags are not raised."""
+    plane count 0, and their flags are not raised. ELA tiles are by default a twelfth of the
+    shorter side, 24 pixels at least."""
     key = ["doc_id", "plane"]
     m = oc.neighbours(gray)
     d = oc.tile_cv(oc.tiles(m, "laplacian", tile, tile), "tile_std", "noise_inconsistency")
-    z = oc.tile_max_z(oc.tiles(m, "residual", tile, tile), "tile_mean", "_z")
+    z = oc.tile_max_z(oc.tiles(m, "residual", local_tile, local_tile), "tile_mean", "_z")
     d = d.join(z.select(*key, fo.local_anomaly(F.col("_z")).alias("local_image_anomaly")), key)
+    if planes is not None:
+        ela = planes.filter(F.col("plane") == "ela")
+        size = F.lit(ela_tile) if ela_tile else F.greatest(F.lit(24), F.floor(F.least("img_h", "img_w") / 12))
+        z = oc.tile_max_z(oc.tiles(ela, "value", size, size), "tile_mean", "_z")
+        mean = ela.groupBy(*key).agg(F.avg("value").alias("_mean"))
+        d = d.join(mean.join(z, key).select("doc_id", fo.ela_score(F.col("_mean"), F.col("_z")).alias("ela_inconsistency")),
+                   "doc_id", "left")
     if compression:
         d = d.join(oc.tile_cv(oc.tiles(m, "residual", block, 2 * block), "tile_var",
                               "compression_inconsistency"), key)
@@ -75,14 +83,14 @@ def tamper_job(gray: DataFrame, planes: DataFrame | None, tile: int = 32, block:
         d = d.join(oc.edge_bands(m, edge_threshold).select(*key, "edge_inconsistency"), key)
     if copy_guard is not None:
         d = d.join(oc.block_copies(gray, block, copy_guard), key, "left")
-    from idsieve.functions.fixed import TAMPER_WEIGHTS
+    from idsieve.functions.fixed import HOTSPOT_MIN, TAMPER_WEIGHTS
     d = evidence.with_missing(d, {k: "double" for k in TAMPER_WEIGHTS})
     out = fo.review(d).drop("plane").withColumn("tamper_status", F.lit("ANALYZED"))
     if planes is None:
         return out.withColumn("hotspot_count", F.lit(0).cast("long"))
     size = planes.groupBy("doc_id").agg(F.max("img_h").alias("img_h"), F.max("img_w").alias("img_w"))
     heat = oc.heat_blend(planes).join(size, "doc_id")
-    spots = oc.hotspots(oc.grid(heat, grid, grid), grid, grid).groupBy("doc_id").agg(
+    spots = oc.grid(heat, grid, grid).filter(F.col("score") >= HOTSPOT_MIN).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("hotspot_count"))
     return out.join(spots, "doc_id", "left").withColumn("hotspot_count", F.coalesce("hotspot_count", F.lit(0)))
 

@@ -141,7 +141,11 @@ def q_tile_stats(spark, sf):
         F.round("noise_inconsistency", 6).alias("noise_inconsistency"))
 
 
-MAXZ = f"""SELECT doc_id, CASE WHEN stddev_pop(tm) > 1e-6 THEN (max(tm) - avg(tm)) / (stddev_pop(tm) + 1e-6) ELSE 0.0 END AS max_z FROM ({tile_sql(NEIGH, 'residual', 2, 2)}) t GROUP BY doc_id"""
+def max_z_sql(src: str, value: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN stddev_pop(tm) > 1e-6 THEN (max(tm) - avg(tm)) / (stddev_pop(tm) + 1e-6) ELSE 0.0 END AS max_z FROM ({tile_sql(src, value, 2, 2)}) t GROUP BY doc_id"""
+
+
+MAXZ = max_z_sql(NEIGH, "residual")
 
 
 @query("agg_tile_max_z", f"SELECT doc_id, round(max_z, 6) AS max_z, round({c01('max_z / 6.0')}, 6) AS local_image_anomaly FROM ({MAXZ}) z")
@@ -253,9 +257,15 @@ SIGNALS = "SELECT o_orderkey AS doc_id, " + ", ".join(
     f"CAST(o_orderkey * {m} % {p} AS DOUBLE) / {p}.0 AS {k}" for (k, m, p) in zip(
         TAMPER_WEIGHTS, (3, 5, 7, 11, 13, 17), (101, 103, 107, 109, 113, 127))) + " FROM {orders}"
 SIG = I.plain(SIGNALS)
-REVIEW = ("SELECT *, greatest(least(" + " + ".join(f"round({k}, 4) * {w}" for k, w in TAMPER_WEIGHTS.items()) + ", 1.0), 0.0) AS s, concat_ws(',', "
-          + ", ".join(f"CASE WHEN round({k}, 4) > {t} THEN '{k}' END" for k, t in TAMPER_THRESHOLDS.items()) + f") AS flags FROM ({SIG}) x")
-REVIEW2 = f"SELECT *, round(s + 1e-9, 4) AS review_score, CASE WHEN s >= 0.65 THEN 'ELEVATED_REVIEW' WHEN s >= 0.4 OR flags <> '' THEN 'MILD_REVIEW' ELSE 'LOW_SIGNAL' END AS severity FROM ({REVIEW}) r0"
+
+
+def review_sql(src: str) -> str:
+    scored = ("SELECT *, greatest(least(" + " + ".join(f"round({k}, 4) * {w}" for k, w in TAMPER_WEIGHTS.items()) + ", 1.0), 0.0) AS s, concat_ws(',', "
+              + ", ".join(f"CASE WHEN round({k}, 4) > {t} THEN '{k}' END" for k, t in TAMPER_THRESHOLDS.items()) + f") AS flags FROM ({src}) x")
+    return f"SELECT *, round(s + 1e-9, 4) AS review_score, CASE WHEN s >= 0.65 THEN 'ELEVATED_REVIEW' WHEN s >= 0.4 OR flags <> '' THEN 'MILD_REVIEW' ELSE 'LOW_SIGNAL' END AS severity FROM ({scored}) r0"
+
+
+REVIEW2 = review_sql(SIG)
 
 
 def _review(spark, sf):
@@ -277,19 +287,28 @@ def q_ela(spark, sf):
     return d.select("doc_id", F.round(fo.ela_score(F.col("mr"), F.col("max_z")), 6).alias("ela_inconsistency"))
 
 
-TAMPER = f"""SELECT m.doc_id, severity, review_score, flags, coalesce(n, 0) AS hotspot_count FROM (
- SELECT *, round(s + 1e-9, 4) AS review_score, CASE WHEN s >= 0.65 THEN 'ELEVATED_REVIEW' WHEN s >= 0.4 OR flags <> '' THEN 'MILD_REVIEW' ELSE 'LOW_SIGNAL' END AS severity
- FROM (SELECT doc_id, greatest(least(nz * 0.15 + lo * 0.2, 1.0), 0.0) AS s, concat_ws(',', CASE WHEN nz > 0.55 THEN 'noise_inconsistency' END, CASE WHEN lo > 0.6 THEN 'local_image_anomaly' END) AS flags
-  FROM (SELECT z.doc_id, round({c01('z.max_z / 6.0')}, 4) AS lo, round({c01('b.cv / 5')}, 4) AS nz FROM ({MAXZ}) z
-   JOIN (SELECT doc_id, stddev_pop(ts) / (avg(ts) + 1e-6) AS cv FROM ({tile_sql(NEIGH, 'laplacian', 2, 2)}) t GROUP BY doc_id) b ON b.doc_id = z.doc_id) s0) s1) m
-LEFT JOIN (SELECT doc_id, least(count(*), 8) AS n FROM ({GRID}) g WHERE score >= 0.65 GROUP BY doc_id) k ON k.doc_id = m.doc_id"""
+def _cv(value: str, stat: str, step: int) -> str:
+    return f"SELECT doc_id, {c01(f'stddev_pop({stat}) / (avg({stat}) + 1e-6) / 5')} AS cv FROM ({tile_sql(NEIGH, value, 2, step)}) t GROUP BY doc_id"
+
+
+_ELA_PLANE = f"SELECT * FROM ({PLANES_SQL}) p0 WHERE plane = 'ela'"
+# Block copies have no SQL twin, so this query leaves their signal out; join_block_copy computes it.
+TAMPER_SIGNALS = f"""SELECT z.doc_id, {c01('0.55 * (em.mr / 25.0) + 0.45 * (ez.max_z / 6.0)')} AS ela_inconsistency, co.cv AS compression_inconsistency,
+  nz.cv AS noise_inconsistency, {c01('z.max_z / 6.0')} AS local_image_anomaly, ed.x AS edge_inconsistency, 0.0::DOUBLE AS copy_move_indicators
+ FROM ({MAXZ}) z JOIN ({max_z_sql(_ELA_PLANE, 'value')}) ez ON ez.doc_id = z.doc_id
+ JOIN (SELECT doc_id, avg(value) AS mr FROM ({_ELA_PLANE}) p1 GROUP BY doc_id) em ON em.doc_id = z.doc_id
+ JOIN ({_cv('residual', 'tv', 4)}) co ON co.doc_id = z.doc_id JOIN ({_cv('laplacian', 'ts', 2)}) nz ON nz.doc_id = z.doc_id
+ JOIN (SELECT doc_id, {c01('abs(avg(CASE WHEN r < 8 // 3 THEN e END) - avg(CASE WHEN r >= 16 // 3 THEN e END)) * 4')} AS x
+  FROM (SELECT doc_id, r, CASE WHEN gradient > 90 THEN 1.0 ELSE 0.0 END::DOUBLE AS e FROM ({NEIGH}) n) n1 GROUP BY doc_id) ed ON ed.doc_id = z.doc_id"""
+TAMPER = f"""SELECT m.doc_id, severity, review_score, flags, coalesce(n, 0) AS hotspot_count FROM ({review_sql(TAMPER_SIGNALS)}) m
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({GRID}) g WHERE score >= 0.65 GROUP BY doc_id) k ON k.doc_id = m.doc_id"""
 
 
 @query("job_tamper", TAMPER)
 def job_tamper(spark, sf):
     from idsieve.plans.jobs import tamper_job
     return tamper_job(cells(spark, sf), I.derive(spark, sf, PLANES_SPARK), tile=2, block=2, grid=4,
-                      copy_guard=None, edge_threshold=None, compression=False).select(
+                      copy_guard=None, edge_threshold=90.0, local_tile=2, ela_tile=2).select(
         "doc_id", "severity", "review_score", F.array_join("flags", ",").alias("flags"),
         F.col("hotspot_count").cast("long").alias("hotspot_count"))
 
