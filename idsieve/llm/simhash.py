@@ -311,16 +311,28 @@ def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
     return docs.select("node", let(w, cut).alias("shingles"))
 
 
+def bitmap(shingles: Column, words: int = 8) -> list[Column]:
+    """``words`` longs in which each shingle sets one bit: a bound on what two sets share, without the sets."""
+    def word(k: int) -> Column:
+        own = F.filter(shingles, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(words - 1)) == k)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
+
+    return [word(k).alias(f"m{k}") for k in range(words)]
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, bits: int = 256, misses: float = 0.05,
-                    key: str = "doc_id") -> DataFrame:
+                    nearest_rounds: int = 1, key: str = "doc_id") -> DataFrame:
     """One row of each group of near-duplicates: the one with the least key, then the least text hash.
 
     Texts are linked when their sets of shingles have a Jaccard similarity of ``similarity`` or more, which
     is verified on the sets. At that similarity about a seventh of all bits differ, far beyond a radius
     that probing can guarantee, so the bits are grouped anew in as many turns as leave a pair at the limit
     unseen with probability ``misses`` at most. In a bucket, entries are compared with its least and its largest
-    entry: three entries are thus compared in full, and larger buckets stay linear in size. The first turn's
-    links to least entries are verified before; pairs that these connect already are not looked at again.
+    entry: three entries are thus compared in full, and larger buckets stay linear in size. Each entry's nearest
+    least entry of the first turn is verified before, then its nearest candidate of all turns, ``nearest_rounds`` times;
+    pairs that are connected by then are not looked at again, all others are. Bitmaps of the sets rule out most pairs
+    by a bound that holds for every pair, so that sets are moved for few.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = held(docs, key, "text").withColumnRenamed(key, "key").withColumn("digest", digest)
@@ -343,23 +355,41 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
     plans = fit(prints, how, count, turns)
     side = lambda at, to: prints.select(F.col("node").alias(at), *[F.col(p).alias(f"{to}{p}") for p in names])
     limit = int(bits * (1 - agree) + 5 * (bits * agree * (1 - agree)) ** 0.5)
-    near = apart([F.col(f"x{p}") for p in names], [F.col(f"y{p}") for p in names]) <= limit
+    off = apart([F.col(f"x{p}") for p in names], [F.col(f"y{p}") for p in names])
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs near enough in their bits to be worth a look at their sets, with their differing bits."""
+        met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", off.alias("off"))
+        return written(met.filter(F.col("off") <= limit), "candidates")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """For each b the pair of fewest differing bits."""
+        best = pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("of"))
+        return written(best.select(F.col("of.a").alias("a"), "b"), "nearest")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
-        close = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(near).select("a", "b"), "candidates")
-        wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = written(shingle_sets(texts.join(wanted, "node", "left_semi"), words_each).dropDuplicates(["node"]), "shingles")
-        both = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
+        maps = written(sets.select("node", F.size("shingles").alias("n"), *bitmap(F.col("shingles"))), "bitmaps")
+        enough = lambda common, m, n: common >= similarity * (m + n - common)
+        named = lambda to: maps.select(F.col("node").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in maps.columns[1:]])
+        bound = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b")
+        # A bit of one map that the other lacks stands for a shingle, or several, that the other lacks.
+        alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(f"{y}_{c}"))) for c in maps.columns[2:]), F.lit(0))
+        most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
+        both = bound.filter(enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b").join(
+            sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-        common = F.size(F.array_intersect("s", "t"))
-        return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+        return written(both.filter(enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "links")
 
-    # What the first turn's least entries link is one already when all turns are compared.
+    # What the first turn's least entries link is one already when all turns, the first included, are compared;
+    # so one verified partner for each entry will do here, and sets are not moved for the others.
     first = written(signatures(prints, plans[0], how, own_only=True).select("bucket", "node"), "first-turn")
     least = first.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter(F.col("a") < F.col("hi"))
-    linked = components(verified(first.join(least.select("bucket", "a"), "bucket").filter(F.col("a") < F.col("node"))
-                                 .select("a", F.col("node").alias("b")).distinct()))
+    edges = similar(nearest(close(first.join(least.select("bucket", "a"), "bucket").filter(F.col("a") < F.col("node"))
+                                  .select("a", F.col("node").alias("b")).distinct())))
+    linked = components(edges)
     joined = written(prints.join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), "linked")
     meet = written(reduce(DataFrame.unionByName, [
         signatures(joined, plan, how, own_only=True, turn=t, keep=("node", "own")).select("bucket", "node", "own")
@@ -368,10 +398,19 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
         F.min("node").alias("lo"), F.min_by("own", "node").alias("lo_own"), F.max("node").alias("hi"), F.max_by("own", "node").alias("hi_own"),
         F.min("own").alias("_a"), F.max("own").alias("_b")).filter(F.col("_a") < F.col("_b")).drop("_a", "_b")
     met = meet.join(ends, "bucket")
-    rest = reduce(DataFrame.unionByName, [
+    left = close(reduce(DataFrame.unionByName, [
         met.filter(F.col("own") != F.col(f"{to}_own")).select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b"))
-        for to in ("lo", "hi")]).distinct()
-    found = components(verified(rest).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        for to in ("lo", "hi")]).distinct())
+    # The nearest pairs first: what they connect need not be looked at. Every pair then left is.
+    for _ in range(nearest_rounds):
+        best = nearest(left)
+        edges = edges.unionByName(similar(best))
+        linked = components(edges)
+        left = left.join(best, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"{end}_own")), end, "left")
+        left = written(left.filter(F.coalesce("a_own", "a") != F.coalesce("b_own", "b")).select("a", "b", "off"), "left")
+    found = components(edges.unionByName(similar(left)))
     group = F.coalesce("component", "node")
     kept = copies.join(found, "node", "left").groupBy(group.alias("group")).agg(F.min(F.struct("key", "digest", "n")).alias("first"))
     kept = kept.select(F.col("first.key").alias("least"), F.col("first.digest").alias("digest"), F.col("first.n").alias("n"))
