@@ -193,16 +193,16 @@ def hotspots(cells: DataFrame, rows: int = 24, cols: int = 24) -> DataFrame:
 
 
 def hsv(cells: DataFrame) -> DataFrame:
-    """Add h (0-180), s and v (0-255) from blue, green and red."""
+    """Add h (0-179), s and v (0-255), whole numbers as in 8-bit images, from blue, green and red."""
     b, g, red = F.col("blue"), F.col("green"), F.col("red")
     d = cells.withColumns({"v": F.greatest(b, g, red), "_d": F.greatest(b, g, red) - F.least(b, g, red)})
     v, span = F.col("v"), F.col("_d")
     deg = (F.when(span == 0, 0.0).when(v == red, 60 * (g - b) / span)
            .when(v == g, 120 + 60 * (b - red) / span).otherwise(240 + 60 * (red - g) / span))
     return d.withColumns({
-        "s": F.when(v == 0, 0.0).otherwise(255 * span / v), "_deg": deg,
-    }).withColumn("h", F.when(F.col("_deg") < 0, F.col("_deg") + 360).otherwise(F.col("_deg")) / 2
-                  ).drop("_d", "_deg")
+        "s": F.when(v == 0, 0.0).otherwise(F.floor(255 * span / v + 0.5)).cast("double"),
+        "_h": F.floor(deg / 2 + 0.5).cast("double"),
+    }).withColumn("h", F.when(F.col("_h") < 0, F.col("_h") + 180).otherwise(F.col("_h"))).drop("_d", "_h")
 
 
 def _share(cond: Column) -> Column:

@@ -58,6 +58,22 @@ def png_size(content: Column) -> tuple[Column, Column]:
     return number(17), number(21)
 
 
+def webp_size(content: Column) -> tuple[Column, Column]:
+    """Width and height read from the first chunk of a WEBP file: lossy, lossless or extended."""
+
+    def number(start: int, size: int) -> Column:
+        digits = [F.hex(F.substring(content, start + i, 1)) for i in reversed(range(size))]
+        return F.conv(F.nullif(F.concat(*digits), F.lit("")), 16, 10).cast("long")
+
+    kind = F.hex(F.substring(content, 13, 4))
+    packed = number(22, 4)
+    low = F.lit((1 << 14) - 1).cast("long")
+    return (case((kind == "56503820", number(27, 2).bitwiseAND(low)), (kind == "5650384C", packed.bitwiseAND(low) + 1),
+                 (kind == "56503858", number(25, 3) + 1)),
+            case((kind == "56503820", number(29, 2).bitwiseAND(low)), (kind == "5650384C", F.shiftright(packed, 14).bitwiseAND(low) + 1),
+                 (kind == "56503858", number(28, 3) + 1)))
+
+
 def header_code(settings: Settings = DEFAULT) -> Column:
     """Rejection code from name and bytes alone, null when none applies. First match wins."""
     c = F.col("content")
@@ -97,19 +113,20 @@ def validate(files: DataFrame, settings: Settings = DEFAULT,
              decoded: DataFrame | None = None, key: str = "path") -> DataFrame:
     """Add ``code`` (null when accepted), ``width`` and ``height``.
 
-    Sizes come from ``decoded(key, width, height)`` when given (the image source,
-    which has no row for what it cannot decode), else from the PNG header; other
-    kinds stay unmeasured then.
+    PNG and WEBP sizes stand in the header. With ``decoded(key, width, height)``, the
+    image source, sizes of PNG and JPEG come from there, and what has no row there did
+    not decode; it reads no WEBP. Without it JPEG files stay unmeasured.
     """
     f = with_header(files)
+    png, webp = F.col("sniffed") == "PNG", F.col("sniffed") == "WEBP"
+    (pw, ph), (ww, wh) = png_size(F.col("content")), webp_size(F.col("content"))
     if decoded is None:
-        w, h = png_size(F.col("content"))
-        png = F.col("sniffed") == "PNG"
-        f = f.withColumns({"width": F.when(png, w), "height": F.when(png, h)})
-        unreadable = png & (F.col("width").isNull() | F.col("height").isNull())
+        f = f.withColumns({"width": F.when(png, pw).when(webp, ww), "height": F.when(png, ph).when(webp, wh)})
+        unreadable = (png | webp) & (F.col("width").isNull() | F.col("height").isNull())
     else:
-        f = f.join(decoded.select(key, "width", "height"), key, "left")
-        unreadable = (F.col("sniffed") != "PDF") & F.col("width").isNull()
+        f = f.join(decoded.select(key, F.col("width").alias("_w"), F.col("height").alias("_h")), key, "left")
+        f = f.withColumns({"width": F.when(webp, ww).otherwise(F.col("_w")), "height": F.when(webp, wh).otherwise(F.col("_h"))}).drop("_w", "_h")
+        unreadable = (F.col("sniffed") != "PDF") & (F.col("width").isNull() | F.col("height").isNull())
     size = F.struct(unreadable.alias("bad"), (F.col("width") * F.col("height")).alias("pixels"))
     by_size = let(size, lambda x: case(
         (x["bad"], "CORRUPT_IMAGE"), (x["pixels"] <= 0, "BAD_DIMENSIONS"),

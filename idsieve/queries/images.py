@@ -178,8 +178,8 @@ def q_blockiness(spark, sf):
     return oc.blockiness(cells(spark, sf), 4).select("doc_id", F.round("blockiness", 4).alias("blockiness"))
 
 
-HSV_SQL = f"""SELECT *, CASE WHEN deg < 0 THEN deg + 360 ELSE deg END / 2 AS h FROM (
- SELECT *, CASE WHEN mx = 0 THEN 0.0 ELSE 255 * (mx - mn) / mx END AS s, mx AS v, CASE WHEN mx = mn THEN 0.0 WHEN mx = red THEN 60 * (green - blue) / (mx - mn)
+HSV_SQL = f"""SELECT *, CASE WHEN floor(deg / 2 + 0.5) < 0 THEN floor(deg / 2 + 0.5) + 180 ELSE floor(deg / 2 + 0.5) END AS h FROM (
+ SELECT *, CASE WHEN mx = 0 THEN 0.0 ELSE floor(255 * (mx - mn) / mx + 0.5) END AS s, mx AS v, CASE WHEN mx = mn THEN 0.0 WHEN mx = red THEN 60 * (green - blue) / (mx - mn)
   WHEN mx = green THEN 120 + 60 * (blue - red) / (mx - mn) ELSE 240 + 60 * (red - green) / (mx - mn) END AS deg
  FROM (SELECT *, greatest(blue, green, red) AS mx, least(blue, green, red) AS mn FROM ({COLORS_SQL}) c) c1) c2"""
 

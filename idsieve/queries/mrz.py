@@ -234,9 +234,10 @@ def q_mask(spark, sf):
         "doc_id", "mrz_fields.surname", "mrz_fields.document_number", "mrz_fields.dob", "mrz_fields.expiry")
 
 
-@query("mrz_analyze", f"SELECT doc_id, st AS mrz_status, coalesce(fmt, '') AS structure, c2 AS digits, c3 AS name_cmp, c4 AS dob_cmp, c5 AS number_cmp FROM ({_ANA}) a WHERE supports_mrz")
+@query("mrz_analyze", f"""SELECT doc_id, st AS mrz_status, CASE WHEN supports_mrz THEN coalesce(fmt, '') ELSE '' END AS structure, CASE WHEN supports_mrz THEN c2 ELSE 'NOT_ASSESSED' END AS digits,
+ CASE WHEN supports_mrz THEN c3 ELSE 'NOT_ASSESSED' END AS name_cmp, CASE WHEN supports_mrz THEN c4 ELSE 'NOT_ASSESSED' END AS dob_cmp, CASE WHEN supports_mrz THEN c5 ELSE 'NOT_ASSESSED' END AS number_cmp FROM ({_ANA}) a""")
 def q_analyze(spark, sf):
-    return om.analyze(I.mrz_text(spark, sf).filter("supports_mrz")).select(
+    return om.analyze(I.mrz_text(spark, sf)).select(
         "doc_id", "mrz_status", F.coalesce("structure", F.lit("")).alias("structure"),
         m.tri(F.col("check_digits_ok")).alias("digits"), "name_cmp", "dob_cmp", "number_cmp")
 
@@ -257,8 +258,8 @@ SELECT doc_id, 0 AS block_num, line_num, line_num AS box_ord, 5 AS x, CAST(700 +
 _REGION_SPARK = _REGION.format(explode=f"SELECT doc_id, CAST(line_num AS INT) AS line_num, line FROM ({I.MRZ_TEXT}) t LATERAL VIEW posexplode(split(full_text, '\\n')) l AS line_num, line")
 
 
-@query("mrz_from_region_text", f"SELECT doc_id, CASE WHEN st = 'PARSED' THEN 'DETECTED' ELSE st END AS mrz_status, coalesce(fmt, '') AS structure FROM ({_ANA}) a WHERE supports_mrz")
+@query("mrz_from_region_text", f"SELECT doc_id, CASE WHEN st = 'PARSED' THEN 'DETECTED' ELSE st END AS mrz_status, CASE WHEN supports_mrz THEN coalesce(fmt, '') ELSE '' END AS structure FROM ({_ANA}) a")
 def q_region(spark, sf):
-    docs = I.mrz_text(spark, sf).filter("supports_mrz").withColumn("page_h", F.lit(1000))
+    docs = I.mrz_text(spark, sf).withColumn("page_h", F.lit(1000))
     return om.from_region(I.derive(spark, sf, _REGION_SPARK), docs).select(
         "doc_id", "mrz_status", F.coalesce("structure", F.lit("")).alias("structure"))

@@ -60,9 +60,9 @@ def softmax_sql(a: str, t: float = 1.0) -> str:
     return (f"list_transform({a}, lambda x: exp((x - list_max({a})) / {t}) / list_sum(list_transform({a}, lambda y: exp((y - list_max({a})) / {t}))))")
 
 
-@query("softmax", f"SELECT vec_id, round(p[1], 5) AS p1, round(p[7], 5) AS p7, round(list_sum(p), 6) AS total FROM (SELECT vec_id, {softmax_sql('e[1:7]', 0.15)} AS p FROM {E}) u")
+@query("softmax", f"SELECT vec_id, round(p[1], 5) AS p1, round(p[7], 5) AS p7, round(list_sum(p), 6) AS total FROM (SELECT vec_id, {softmax_sql('e', 0.15)} AS p FROM {E}) u")
 def q_softmax(spark, sf):
-    p = emb(spark, sf).withColumn("p", v.softmax(F.slice("e", 1, 7), 0.15))
+    p = emb(spark, sf).withColumn("p", v.softmax(F.col("e"), 0.15))
     return p.select("vec_id", F.round(F.col("p")[0], 5).alias("p1"), F.round(F.col("p")[6], 5).alias("p7"),
                     F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 

@@ -75,7 +75,12 @@ OUTPUT = "client string, hit_id long, ts_us long, admitted boolean"
 
 
 class RateLimiter(StatefulProcessor):
-    """Streaming form: per client the admitted times of the last window."""
+    """Streaming form: per client the admitted times of the last window.
+
+    A client's hits of one micro-batch are decided in the order of their times, however many chunks
+    bring them; they are held together, so a trigger bounds them. Hits older than a decided batch
+    are decided as they come.
+    """
 
     def __init__(self, limit: int, window_seconds: int):
         self.limit, self.us = limit, window_seconds * 1_000_000
@@ -85,10 +90,9 @@ class RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         taken = deque(self.taken.get()[0] if self.taken.exists() else [])
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts_us", "hit_id"])
-            ok = [True] * len(pdf) if self.limit <= 0 else admit(pdf["ts_us"], taken, self.limit, self.us)
-            yield pd.DataFrame({"client": key[0], "hit_id": pdf["hit_id"], "ts_us": pdf["ts_us"], "admitted": ok})
+        pdf = pd.concat(list(rows)).sort_values(["ts_us", "hit_id"], ignore_index=True)
+        ok = [True] * len(pdf) if self.limit <= 0 else admit(pdf["ts_us"], taken, self.limit, self.us)
+        yield pd.DataFrame({"client": key[0], "hit_id": pdf["hit_id"], "ts_us": pdf["ts_us"], "admitted": ok})
         self.taken.update(([int(t) for t in taken],))
 
     def close(self) -> None:

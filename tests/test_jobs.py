@@ -41,6 +41,33 @@ def test_limits(spark):
     assert oi.validate(d, Settings(max_image_pixels=15)).first().code == "TOO_MANY_PIXELS"
 
 
+def webp(kind, body):
+    chunk = kind + struct.pack("<I", len(body)) + body
+    return b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk
+
+
+@pytest.mark.parametrize("content", [
+    webp(b"VP8 ", b"\x10\x00\x00\x9d\x01\x2a" + struct.pack("<HH", 700, 300) + b"\x00" * 8),
+    webp(b"VP8L", b"\x2f" + struct.pack("<I", 699 | 299 << 14) + b"\x00" * 8),
+    webp(b"VP8X", b"\x00" * 4 + (699).to_bytes(3, "little") + (299).to_bytes(3, "little")),
+])
+def test_webp_sizes(spark, content):
+    d = spark.createDataFrame([("p", "a.webp", bytearray(content))], "path string, filename string, content binary")
+    none = spark.createDataFrame([], "path string, width int, height int")
+    for decoded in (None, none):
+        r = oi.validate(d, decoded=decoded).first()
+        assert (r.code, r.width, r.height) == (None, 700, 300)
+    assert oi.validate(d, Settings(max_image_pixels=200_000)).first().code == "TOO_MANY_PIXELS"
+    cut = spark.createDataFrame([("p", "a.webp", bytearray(content[:20]))], "path string, filename string, content binary")
+    assert oi.validate(cut).first().code == "CORRUPT_IMAGE"
+
+
+def test_hsv_is_whole(spark):
+    d = spark.createDataFrame([(10.0, 20.0, 200.0), (11.0, 10.0, 200.0), (200.0, 101.0, 100.0), (0.0, 0.0, 0.0)], "blue double, green double, red double")
+    got = [(r.h, r.s, r.v) for r in oc.hsv(d).select("h", "s", "v").collect()]
+    assert got == [(2.0, 242.0, 200.0), (0.0, 242.0, 200.0), (120.0, 128.0, 200.0), (0.0, 0.0, 0.0)]
+
+
 def test_images_to_cells(spark, tmp_path):
     (tmp_path / "ok.png").write_bytes(png(5, 3))
     (tmp_path / "bad.png").write_bytes(png(5, 3)[:30])
@@ -132,6 +159,22 @@ def test_rate_limit_stream_agrees(spark, tmp_path):
     assert got == brute_rate(hits, 3, 60_000_000)
 
 
+def test_rate_limit_stream_in_many_chunks(spark, tmp_path):
+    hits = some_hits(200)
+    random.Random(8).shuffle(hits)
+    d = spark.createDataFrame(hits, "client string, hit_id long, ts_us long")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = rl.rate_limit_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), 3, 60)
+        (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.hit_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == brute_rate(sorted(hits, key=lambda h: (h[2], h[1])), 3, 60_000_000)
+
+
 def test_ordered_helpers_match_plain_order(spark):
     rnd = random.Random(3)
     data = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(4)}", i, rnd.randrange(10_000)) for i in range(500)]
