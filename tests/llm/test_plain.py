@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from idsieve.llm import pages, queries, simhash, suffixes, tokens
@@ -159,3 +160,37 @@ def test_op9_op10(spark, texts):
     langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
     held = [r for r in result(spark, "op10_language_id").values() if r["held_out"]]
     assert sum(langs[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rnd = random.Random(4)
+    made = []
+    for _ in range(6):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(240)]
+        for _ in range(rnd.choice([1, 2, 6])):
+            copy = list(base)
+            for at in rnd.sample(range(240), rnd.choice([0, 1, 3])):
+                copy[at] = f"x{rnd.randrange(5000)}"
+            made.append(" ".join(copy))
+    rnd.shuffle(made)
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, made)]
+    group = list(range(len(made)))
+    for b in range(len(made)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_duplicates(df).collect()}
+    assert kept == {min(i for i, g in enumerate(group) if g == x) for x in set(group)}
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    rnd = random.Random(5)
+    pool = [rnd.getrandbits(64) - (1 << 63) for _ in range(400)]
+    rows = [(i, rnd.sample(pool, rnd.choice([0, 1, 90, 300]))) for i in range(12)]
+    maps = spark.createDataFrame(rows, "node long, s array<long>").select("node", "s", *simhash.bitmap(F.col("s"))).collect()
+    full = [sum((r[f"m{k}"] & (1 << 64) - 1) << 64 * k for k in range(8)) for r in maps]
+    for x, fx in zip(maps, full, strict=True):
+        assert bin(fx).count("1") <= len(x.s) and (fx != 0) == bool(x.s)
+        for y, fy in zip(maps, full, strict=True):
+            assert len(set(x.s) & set(y.s)) <= len(x.s) - bin(fx & ~fy).count("1")
