@@ -43,6 +43,7 @@ V1 = f"""SELECT *, {_EXT} AS ext, CASE WHEN kind = 'PNG' THEN {_num(33)} END AS
 _HEADER = f"""CASE WHEN {_LEN} = 0 THEN 'EMPTY_FILE' WHEN {_LEN} > 20000 THEN 'FILE_TOO_LARGE' WHEN {_DANGER} THEN 'DANGEROUS_CONTENT'
  WHEN ext NOT IN ('.png', '.jpg', '.jpeg', '.webp'{{pdf}}) THEN 'BAD_EXTENSION' WHEN kind IS NULL THEN 'BAD_SIGNATURE'
  WHEN NOT ((kind = 'JPEG' AND ext IN ('.jpg', '.jpeg')) OR (kind = 'PNG' AND ext = '.png') OR (kind = 'WEBP' AND ext = '.webp') OR (kind = 'PDF' AND ext = '.pdf')) THEN 'MIME_MISMATCH'
+ WHEN kind = 'WEBP' AND substr(content_hex, 25, 8) NOT IN ('56503820', '5650384C', '56503858') THEN 'CORRUPT_IMAGE'
  {{off}} WHEN w * h <= 0 THEN 'BAD_DIMENSIONS' WHEN w * h > 40000000 THEN 'TOO_MANY_PIXELS' END"""
 CODE = _HEADER.format(pdf=", '.pdf'", off="")
 CODE_NO_PDF = _HEADER.format(pdf="", off="WHEN kind = 'PDF' THEN 'PDF_DISABLED'")
