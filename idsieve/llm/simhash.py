@@ -321,18 +321,50 @@ def bitmap(shingles: Column, words: int = 8) -> list[Column]:
     return [word(k).alias(f"m{k}") for k in range(words)]
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, bits: int = 256, misses: float = 0.05,
-                    nearest_rounds: int = 1, key: str = "doc_id") -> DataFrame:
+#: Shingles of a sample that are put last in the order of prefixes. They decide how many pairs are looked at, never which are found.
+COMMON = 50_000
+
+
+def prefixes(sets: DataFrame, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
+    """(shingle, node, n, at): of each set of ``n`` shingles the first ones in one order of all shingles.
+
+    They are so many that two sets of the similarity share one of them, whatever the order is. The shingles
+    of ``common`` (hash, count) come last, most frequent at the end.
+    """
+    listed = sorted(common)
+    keys, freq = np.array([h for h, _ in listed], dtype=np.int64), np.array([n for _, n in listed], dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.minimum(np.searchsorted(keys, v), max(len(keys) - 1, 0))
+                weight = np.where(keys[place] == v, freq[place], 0) if len(keys) else np.zeros(len(v), dtype=np.int64)
+                order = np.lexsort((v, weight, row))
+                at = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+                stay = at < np.repeat(first, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v[order][stay]), part.column(0).take(pa.array(row[stay])), pa.array(sizes[row[stay]]), pa.array(at[stay])],
+                    ["shingle", "node", "n", "at"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "shingle long, node long, n long, at long")
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, rounds: int = 3, sample: int = 5_000,
+                    block: int = 1_024, key: str = "doc_id") -> DataFrame:
     """One row of each group of near-duplicates: the one with the least key, then the least text hash.
 
-    Texts are linked when their sets of shingles have a Jaccard similarity of ``similarity`` or more, which
-    is verified on the sets. At that similarity about a seventh of all bits differ, far beyond a radius
-    that probing can guarantee, so the bits are grouped anew in as many turns as leave a pair at the limit
-    unseen with probability ``misses`` at most. In a bucket, entries are compared with its least and its largest
-    entry: three entries are thus compared in full, and larger buckets stay linear in size. Each entry's nearest
-    least entry of the first turn is verified before, then its nearest candidate of all turns, ``nearest_rounds`` times;
-    pairs that are connected by then are not looked at again, all others are. Bitmaps of the sets rule out most pairs
-    by a bound that holds for every pair, so that sets are moved for few.
+    Texts are linked when their sets of distinct shingles have a Jaccard similarity of ``similarity`` or more; all
+    such pairs count. In one order of all shingles, rare ones first, two sets of that similarity share a shingle of
+    their prefixes, at places that leave room for the rest they must share. Entries that list the same shingle meet.
+    Lists are first compared with one member of theirs, ``rounds`` times with another, which is linear in their size
+    and connects most copies. Pairs that are connected by then need not be looked at; every other pair of every list
+    is, lists of more than ``block`` entries in blocks of that size. Bitmaps of the sets rule out most pairs by a bound
+    that holds for every pair, so that sets are moved for few.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = held(docs, key, "text").withColumnRenamed(key, "key").withColumn("digest", digest)
@@ -342,75 +374,64 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
     texts = rows.withColumn("node", node).join(
         copies.groupBy("node").agg(F.min("key").alias("key")).withColumnRenamed("key", "least"), "node").filter(
         F.col("key").eqNullSafe(F.col("least"))).select("node", "text")
-    count = max(2, copies.select("node").distinct().count())
-    # Bits a partition needs to keep chance meetings few, and turns that reach pairs at the limit.
-    width = int(np.ceil(np.log2(count))) + 4
-    overlap = 2 * similarity / (1 + similarity)
-    agree = 1 - np.arccos(overlap) / np.pi
-    parts = max(2, bits // min(width, 32))
-    turns = int(np.ceil(-np.log(misses) / (parts * agree ** (bits / parts))))
-    how = Search(words_each, bits, parts - 1, parts, reach=2)
-    names = [f"p{k}" for k in range(bits // 64)]
-    prints = written(fingerprints(texts, how, "node").withColumnRenamed("key", "node").dropDuplicates(["node"]), "fingerprints")
-    plans = fit(prints, how, count, turns)
-    side = lambda at, to: prints.select(F.col("node").alias(at), *[F.col(p).alias(f"{to}{p}") for p in names])
-    limit = int(bits * (1 - agree) + 5 * (bits * agree * (1 - agree)) ** 0.5)
-    off = apart([F.col(f"x{p}") for p in names], [F.col(f"y{p}") for p in names])
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """The pairs near enough in their bits to be worth a look at their sets, with their differing bits."""
-        met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", off.alias("off"))
-        return written(met.filter(F.col("off") <= limit), "candidates")
-
-    def nearest(pairs: DataFrame) -> DataFrame:
-        """For each b the pair of fewest differing bits."""
-        best = pairs.groupBy("b").agg(F.min(F.struct("off", "a")).alias("of"))
-        return written(best.select(F.col("of.a").alias("a"), "b"), "nearest")
+    sets = written(shingle_sets(texts.dropDuplicates(["node"]), words_each), "shingles")
+    count = max(1, sets.count())
+    lot = F.pmod(F.xxhash64(F.lit("order"), F.col("node")), F.lit(1_000_000)) < int(min(1.0, sample / count) * 1_000_000)
+    seen = sets.filter(lot).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    common = [(r["h"], r["n"]) for r in seen.orderBy(F.desc("n"), "h").limit(COMMON).collect()]
+    posts = written(prefixes(sets, similarity, common), "prefixes")
+    several = lambda col: [F.min(col).alias("_a"), F.max(col).alias("_b")]
+    met = posts.groupBy("shingle").agg(*several("node")).filter("_a < _b").select("shingle")
+    lists = written(posts.join(met, "shingle", "left_semi").withColumn("own", F.col("node")), "lists")
+
+    def fit(x: str, y: str) -> Column:
+        """What two entries with a shingle in common at these places can share at most, if none before it, is enough."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return 1 + F.least(n - F.col(f"{x}.at") - 1, m - F.col(f"{y}.at") - 1) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = written(shingle_sets(texts.join(wanted, "node", "left_semi"), words_each).dropDuplicates(["node"]), "shingles")
-        maps = written(sets.select("node", F.size("shingles").alias("n"), *bitmap(F.col("shingles"))), "bitmaps")
+        maps = sets.join(wanted, "node", "left_semi").select("node", F.size("shingles").alias("n"), *bitmap(F.col("shingles")))
+        maps = written(maps, "bitmaps")
         enough = lambda common, m, n: common >= similarity * (m + n - common)
         named = lambda to: maps.select(F.col("node").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in maps.columns[1:]])
         bound = pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b")
         # A bit of one map that the other lacks stands for a shingle, or several, that the other lacks.
         alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(f"{y}_{c}"))) for c in maps.columns[2:]), F.lit(0))
         most = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
-        both = bound.filter(enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b").join(
-            sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
+        likely = written(bound.filter(enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b"), "likely")
+        both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
         return written(both.filter(enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "links")
 
-    # What the first turn's least entries link is one already when all turns, the first included, are compared;
-    # so one verified partner for each entry will do here, and sets are not moved for the others.
-    first = written(signatures(prints, plans[0], how, own_only=True).select("bucket", "node"), "first-turn")
-    least = first.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter(F.col("a") < F.col("hi"))
-    edges = similar(nearest(close(first.join(least.select("bucket", "a"), "bucket").filter(F.col("a") < F.col("node"))
-                                  .select("a", F.col("node").alias("b")).distinct())))
-    linked = components(edges)
-    joined = written(prints.join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), "linked")
-    meet = written(reduce(DataFrame.unionByName, [
-        signatures(joined, plan, how, own_only=True, turn=t, keep=("node", "own")).select("bucket", "node", "own")
-        for t, plan in enumerate(plans)]), "signatures")
-    ends = meet.groupBy("bucket").agg(
-        F.min("node").alias("lo"), F.min_by("own", "node").alias("lo_own"), F.max("node").alias("hi"), F.max_by("own", "node").alias("hi_own"),
-        F.min("own").alias("_a"), F.max("own").alias("_b")).filter(F.col("_a") < F.col("_b")).drop("_a", "_b")
-    met = meet.join(ends, "bucket")
-    left = close(reduce(DataFrame.unionByName, [
-        met.filter(F.col("own") != F.col(f"{to}_own")).select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b"))
-        for to in ("lo", "hi")]).distinct())
-    # The nearest pairs first: what they connect need not be looked at. Every pair then left is.
-    for _ in range(nearest_rounds):
-        best = nearest(left)
-        edges = edges.unionByName(similar(best))
-        linked = components(edges)
-        left = left.join(best, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            left = left.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"{end}_own")), end, "left")
-        left = written(left.filter(F.coalesce("a_own", "a") != F.coalesce("b_own", "b")).select("a", "b", "off"), "left")
-    found = components(edges.unionByName(similar(left)))
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(rounds):
+        entry = F.struct("node", "own", "n", "at")
+        lead = lists.groupBy("shingle").agg(F.min_by(entry, F.xxhash64(F.lit(turn), "node")).alias("y"))
+        pairs = lists.select("shingle", entry.alias("x")).join(lead, "shingle").filter((F.col("x.own") != F.col("y.own")) & fit("x", "y"))
+        pairs = pairs.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("times"))
+        best = pairs.groupBy("b").agg(F.max(F.struct("times", "a")).alias("of")).select(F.col("of.a").alias("a"), "b")
+        found = similar(written(best, "nearest"))
+        if not found.take(1):
+            break
+        edges = edges.unionByName(found)
+        linked = written(lists.drop("own").join(components(edges), "node", "left").withColumn(
+            "own", F.coalesce("component", "node")).drop("component"), "linked")
+        open_lists = linked.groupBy("shingle").agg(*several("own")).filter("_a < _b").select("shingle")
+        lists = written(linked.join(open_lists, "shingle", "left_semi"), "lists")
+    # Of two entries that are not connected, one at least is not of the list's most frequent group.
+    shares = lists.groupBy("shingle", "own").agg(F.count("*").alias("c")).groupBy("shingle").agg(
+        F.max_by("own", F.struct("c", "own")).alias("most"), F.sum("c").alias("c"))
+    shares = shares.withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).drop("c")
+    dealt = lists.join(shares, "shingle").select("shingle", "most", "blocks", F.struct("node", "own", "n", "at").alias("x"))
+    rest = dealt.filter(F.col("x.own") != F.col("most")).drop("most").withColumn(
+        "block", F.pmod(F.xxhash64("x.node"), F.col("blocks")).cast("int")).drop("blocks")
+    every = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumnRenamed("x", "y")
+    left = rest.join(every, ["shingle", "block"]).filter(
+        (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("most")) | (F.col("x.node") < F.col("y.node"))) & fit("x", "y"))
+    left = left.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = components(edges.unionByName(similar(written(left, "left"))))
     group = F.coalesce("component", "node")
     kept = copies.join(found, "node", "left").groupBy(group.alias("group")).agg(F.min(F.struct("key", "digest", "n")).alias("first"))
     kept = kept.select(F.col("first.key").alias("least"), F.col("first.digest").alias("digest"), F.col("first.n").alias("n"))

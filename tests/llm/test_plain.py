@@ -194,3 +194,31 @@ def test_bitmaps_bound_what_sets_share(spark):
         assert bin(fx).count("1") <= len(x.s) and (fx != 0) == bool(x.s)
         for y, fy in zip(maps, full, strict=True):
             assert len(set(x.s) & set(y.s)) <= len(x.s) - bin(fx & ~fy).count("1")
+
+
+def linked_least(made):
+    """Least places of the groups that brute force over all pairs of texts links."""
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, map(str.lower, made))]
+    group = list(range(len(made)))
+    for b in range(len(made)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    return {min(i for i, g in enumerate(group) if g == x) for x in set(group)}
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_near_duplicates_inside_a_crowded_family(spark, block):
+    """Pages of one template, three quarters of it the same: below the limit, but in each other's buckets all along."""
+    rnd = random.Random(8)
+    template, made = [f"t{i}" for i in range(180)], []
+    for k in range(160):
+        own = [f"o{k}_{i}" for i in range(30)]
+        made.append(template + own)
+        if k % 4 == 0:  # a true near-copy, its only partner somewhere in the family
+            at = rnd.randrange(30)
+            made.append(template + own[:at] + [f"z{k}"] + own[at + 1:])
+    rnd.shuffle(made)
+    made = [" ".join(x) for x in made]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_duplicates(df, block=block).collect()} == linked_least(made)
