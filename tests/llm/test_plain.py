@@ -222,3 +222,15 @@ def test_near_duplicates_inside_a_crowded_family(spark, block):
     made = [" ".join(x) for x in made]
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.near_duplicates(df, block=block).collect()} == linked_least(made)
+
+
+def test_near_duplicates_with_a_repeated_paragraph(spark):
+    """Sets count a shingle once, however often its paragraph is there."""
+    rnd = random.Random(9)
+    made = []
+    for k in range(30):
+        base = [f"v{k}_{rnd.randrange(10**6)}" for _ in range(300)]
+        made += [" ".join(base), " ".join(base + base[100:124] * 10).upper()]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_duplicates(df).collect()}
+    assert kept == linked_least(made) == set(range(0, 60, 2))
