@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from idsieve.llm import pages, queries, simhash, suffixes, tokens
+from idsieve.llm import pages, quality, queries, simhash, suffixes, tokens
 from tools.check_oracle import rows
 
 SF = "/root/testdata/sf0.001"
@@ -234,3 +234,22 @@ def test_near_duplicates_with_a_repeated_paragraph(spark):
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.near_duplicates(df).collect()}
     assert kept == linked_least(made) == set(range(0, 60, 2))
+
+
+def test_op9_references_of_rare_languages(spark):
+    rnd = random.Random(3)
+    lists = {x: [f"{x}{i}" for i in range(12)] for x in ("en", "rare", "some")}
+
+    def text(lang):
+        return " ".join(rnd.choice(lists[lang]) if rnd.random() < 0.4 else f"{rnd.choice('abcdef')}{rnd.randrange(10**6):x}" for _ in range(120))
+
+    rows = [(x, text(x)) for x, n in (("en", 3000), ("rare", 10), ("some", 60)) for _ in range(n)]
+    rows += [("some", " ".join(f"copy{i % 20}" for i in range(120)))] * 100
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    rules = quality.Rules(fit_rows=70)
+    found = quality.fit_references(d, rules)
+    by = {r.lang: r for r in found}
+    assert set(by) == set(lists) and by["rare"].texts == 10 and by["some"].texts == 61
+    assert {w for w, _ in by["some"].common[:12]} == set(lists["some"])
+    out = [r.lang for r in quality.judge(d, found, rules).filter("kept").collect()]
+    assert Counter(out) == {"en": 3000, "rare": 10, "some": 60}
