@@ -1,16 +1,20 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of one host are put in order of their URL path; each is paired with the neighbour whose path
-shares more with its own. The text lines of both are aligned by a longest common subsequence, and
-lines that both have are what the site puts on every page: they are deleted. Markup decides where it
-can: containers that name themselves (navigation, header, footer, form, advert, comments ...) are
-left out before, and blocks inside an ``article`` or ``main`` element are the page's own, even if a
-neighbour quotes them. Lines outside of such an element count only on pages that have none.
+Pages of one host are put in order of their URL path; each is paired with the neighbour of other
+content whose path shares more with its own. The text lines of both are aligned by a longest common
+subsequence, and lines that both have are what the site puts on every page: they are deleted, inside
+an ``article`` or ``main`` element too. A pairing that would delete nearly all of a page is one with a
+near copy: then the other neighbour decides, or none. Markup is the other vote: containers that name
+themselves (navigation, header, footer, form, advert, comments ...) are left out before, and lines
+outside of the page's ``article`` or ``main`` elements are left out, unless more of the lines that are
+the page's alone stands there than inside.
+
+Only hashes of lines are sorted and paired; equal pages of a host are one entry and share the result.
 
 Defined results: null and empty html, and pages without text of their own, give the empty string; a
-null or broken url is a host of its own and its pages are paired by what path there is; equal urls and
-repeated rows are paired like neighbours; a page without a neighbour on its host keeps its lines; pages
-are read whole; an empty table gives an empty result; columns other than key, url and html stay out.
+null or broken url is a host of its own and its pages are paired by what path there is; a page
+without a neighbour of other content on its host is decided by markup alone; pages are read whole; an
+empty table gives an empty result; columns other than key, url and html stay out.
 """
 
 from __future__ import annotations
@@ -42,6 +46,10 @@ NAMES = re.compile(
     r"|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|header|masthead|topbar|footer|copyright|comments?|commentlist|replies"
     r"|respond|disqus|related|recommended|share|sharing|social|newsletter|subscribe|login|signup|search|pagination|pager"
     r"|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Words that, as a whole class or id, name an article that is not the page's.
+ASIDE = frozenset("comment comments reply replies related recommended teaser promo sponsored ad advert".split())
+#: Fixed value: a pairing that would delete this share of a page's characters is one with a near copy.
+COPY = 0.9
 SPACE = re.compile(r"\s+")
 
 
@@ -74,13 +82,14 @@ class Reader(HTMLParser):
             self.text.append(" " if tag == "br" else "")
         if tag not in CONTAINERS:
             return
-        if tag in OWN and not self.own:
+        a = dict(attrs)
+        names = f"{a.get('class') or ''} {a.get('id') or ''}"
+        named = tag == "article" and not ASIDE.isdisjoint(names.lower().split())
+        if tag in OWN and not named and not self.own:
             # A container left open before the article ends where it begins.
             self.stack = [x for x in self.stack if not x[1] and x[0] not in SILENT]
             self.dropped = self.silent = 0
-        a = dict(attrs)
-        names = f"{a.get('class') or ''} {a.get('id') or ''}"
-        drop = tag not in OWN and (
+        drop = named or tag not in OWN and (
             (tag in CHROME and not (tag == "header" and self.own)) or a.get("role") in ROLES or "hidden" in a
             or a.get("aria-hidden") == "true" or (tag != "body" and NAMES.search(names) is not None))
         self.stack.append((tag, drop))
@@ -117,8 +126,7 @@ def read(html: str) -> list[tuple[str, bool]]:
     reader.feed(html)
     reader.close()
     reader.end_block()
-    own = [x for x in reader.out if x[1]]
-    return own or reader.out
+    return reader.out
 
 
 def site(url: str | None) -> tuple[str, str]:
@@ -129,9 +137,9 @@ def site(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``, by bit-parallel rows."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << i
     full = (1 << len(b)) - 1
@@ -155,8 +163,8 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def nearer(path: str, a: dict | None, b: dict | None, host: str) -> dict | None:
-    """Of two neighbours, the one on the same host whose path shares more leading characters."""
+def near(path: str, a: dict | None, b: dict | None, host: str) -> list[dict]:
+    """The neighbours on the same host, the one whose path shares more leading characters first."""
     found = [x for x in (a, b) if x is not None and x["host"] == host]
 
     def common(p: str) -> int:
@@ -167,7 +175,21 @@ def nearer(path: str, a: dict | None, b: dict | None, host: str) -> dict | None:
             n += 1
         return n
 
-    return max(found, key=lambda x: common(x["path"]), default=None)
+    return sorted(found, key=lambda x: -common(x["path"]))
+
+
+def kept(lines: list[dict], others: list[list[int]]) -> list[bool]:
+    """Which lines (h, size, own) are the page's text, given the lines of its neighbours, nearest first."""
+    own, sizes, hashes = [x["own"] for x in lines], [x["size"] for x in lines], [x["h"] for x in lines]
+    for other in others:
+        gone = shared_lines(hashes, other)
+        if sum(sizes[i] for i in gone) < COPY * sum(sizes):
+            stay = [i not in gone for i in range(len(lines))]
+            inside = sum(n for n, o, k in zip(sizes, own, stay, strict=True) if k and o)
+            if any(own) and 2 * inside >= sum(n for n, k in zip(sizes, stay, strict=True) if k):
+                stay = [k and o for k, o in zip(stay, own, strict=True)]
+            return stay
+    return own if any(own) else [True] * len(lines)
 
 
 LINES = "array<struct<text:string,own:boolean>>"
@@ -190,35 +212,32 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     rows = pages.select(F.col(key).alias("key"), F.col("url").cast("string").alias("url"), "html")
     parsed = rows.mapInArrow(parse, f"key {kind}, url string, host string, path string, lines {LINES}")
-    parsed = written(parsed, "pages")
-    # Pages whose markup shows the article need no partner; the others are paired among themselves.
-    marked = F.exists("lines", lambda x: x["own"])
-    whole = parsed.filter(marked).select("key", "url", F.array_join(F.transform("lines", lambda x: x["text"]), "\n\n").alias("text"))
-    order = ["host", "path", "key"]
-    table = written(parsed.filter(~marked).repartitionByRange(*order).sortWithinPartitions(*order)
-                    .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "unmarked")
-    shown = F.struct("host", "path", F.transform("lines", lambda x: x["text"]).alias("lines"))
-    table = table.withColumn("shown", shown)
+    marks = F.transform("lines", lambda x: F.struct(F.xxhash64(x["text"]).alias("h"), F.length(x["text"]).alias("size"), x["own"].alias("own")))
+    content = F.md5(F.concat_ws("\n", F.transform("lines", lambda x: F.concat(F.when(x["own"], "+").otherwise("-"), x["text"]))))
+    parsed = written(parsed.withColumn("content", content), "pages")
+    # Pages of the same lines are one entry, at the least of their paths.
+    entries = parsed.filter(F.size("lines") > 0).select("host", "content", "path", marks.alias("lines")).groupBy("host", "content").agg(
+        F.min("path").alias("path"), F.first("lines").alias("lines"))
+    order = ["host", "path", "content"]
+    table = written(entries.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "page-lines")
+    table = table.withColumn("shown", F.struct("host", "path", F.transform("lines", lambda x: x["h"]).alias("lines")))
     ends = table.groupBy("part").agg(F.min_by("shown", "pos").alias("first"), F.max_by("shown", "pos").alias("last"))
     across = Window.orderBy("part")
     ends = written(ends.select("part", F.lag("last").over(across).alias("before"), F.lead("first").over(across).alias("after")), "page-ends")
     inside = Window.partitionBy("part").orderBy("pos")
     paired = table.withColumn("prev", F.lag("shown").over(inside)).withColumn("next", F.lead("shown").over(inside)).join(ends, "part")
-    paired = paired.select("key", "url", "host", "path", "lines", F.coalesce("prev", "before").alias("prev"),
-                           F.coalesce("next", "after").alias("next"))
+    paired = paired.select("host", "content", "path", "lines", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
     def difference(batches):
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                texts = []
-                for r in b.slice(i, 500).select(["host", "path", "lines", "prev", "next"]).to_pylist():
-                    keep = [x["text"] for x in r["lines"]]
-                    other = nearer(r["path"], r["prev"], r["next"], r["host"])
-                    gone = shared_lines(keep, other["lines"]) if other else set()
-                    keep = [x for k, x in enumerate(keep) if k not in gone]
-                    texts.append("\n\n".join(keep))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 500), b.column(1).slice(i, 500), pa.array(texts, pa.string())], ["key", "url", "text"])
-
-    cleaned = paired.mapInArrow(difference, f"key {kind}, url string, text string")
-    return whole.unionByName(cleaned).withColumnRenamed("key", key)
+                part = b.slice(i, 500)
+                stay = [kept(r["lines"], [x["lines"] for x in near(r["path"], r["prev"], r["next"], r["host"])])
+                        for r in part.select(["host", "path", "lines", "prev", "next"]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(stay, pa.list_(pa.bool_()))], ["host", "content", "stay"])
+
+    votes = written(paired.mapInArrow(difference, "host string, content string, stay array<boolean>"), "page-votes")
+    own = F.transform(F.filter("lines", lambda x, i: F.get(F.col("stay"), i)), lambda x: x["text"])
+    found = parsed.join(votes, ["host", "content"], "left")
+    return found.select(F.col("key").alias(key), "url", F.coalesce(F.array_join(own, "\n\n"), F.lit("")).alias("text"))

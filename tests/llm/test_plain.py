@@ -253,3 +253,17 @@ def test_op9_references_of_rare_languages(spark):
     assert {w for w, _ in by["some"].common[:12]} == set(lists["some"])
     out = [r.lang for r in quality.judge(d, found, rules).filter("kept").collect()]
     assert Counter(out) == {"en": 3000, "rare": 10, "some": 60}
+
+
+def page_texts(spark, rows):
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in pages.extract(d).collect()}
+
+
+def test_op7_pairs_marked_pages(spark):
+    page = "<article><h1>Title {0}</h1><p>Own words of page {0} come here.</p><p>Subscribe to our letter</p></article><p>foot</p>"
+    teaser = "<article><p>Teaser {0}</p></article><p>The real text of {0} stands outside of it.</p><article class='comment'><p>me too {0}</p></article>"
+    rows = [(i, f"http://h/n/{i}", page.format(i)) for i in range(4)] + [(10 + i, f"http://t/n/{i}", teaser.format(i)) for i in range(4)]
+    out = page_texts(spark, rows)
+    assert out == {**{i: f"Title {i}\n\nOwn words of page {i} come here." for i in range(4)},
+                   **{10 + i: f"Teaser {i}\n\nThe real text of {i} stands outside of it." for i in range(4)}}
