@@ -260,6 +260,16 @@ def page_texts(spark, rows):
     return {r["page_id"]: r["text"] for r in pages.extract(d).collect()}
 
 
+def test_op7_copies_keep_their_article(spark):
+    html = "<p>Site line on top</p><p>The whole long article {} of this page stands here</p><p>Dated {}</p><p>Site line below</p>"
+    rows = [(i, f"http://h/a{x}", html.format("one", 1)) for i, x in enumerate(("", "/", "?print=1", "?p=2", "?p=3"))]
+    rows += [(9, "http://h/b", html.format("two", 2)), (10, "http://g/x/1", "<p>" + "long text " * 40 + "</p><p>v1</p>"),
+             (11, "http://g/x/2", "<p>" + "long text " * 40 + "</p><p>v2</p>")]
+    out = page_texts(spark, rows)
+    assert {out[i] for i in range(5)} == {"The whole long article one of this page stands here\n\nDated 1"}
+    assert out[9].startswith("The whole long article two") and out[10].endswith("v1") and len(out[11]) > 400
+
+
 def test_op7_pairs_marked_pages(spark):
     page = "<article><h1>Title {0}</h1><p>Own words of page {0} come here.</p><p>Subscribe to our letter</p></article><p>foot</p>"
     teaser = "<article><p>Teaser {0}</p></article><p>The real text of {0} stands outside of it.</p><article class='comment'><p>me too {0}</p></article>"
