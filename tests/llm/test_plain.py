@@ -277,3 +277,10 @@ def test_op7_pairs_marked_pages(spark):
     out = page_texts(spark, rows)
     assert out == {**{i: f"Title {i}\n\nOwn words of page {i} come here." for i in range(4)},
                    **{10 + i: f"Teaser {i}\n\nThe real text of {i} stands outside of it." for i in range(4)}}
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    found = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_duplicates(df).collect()}
+    assert kept == {found[i][0] for i in linked_least([x for _, x in found])}
