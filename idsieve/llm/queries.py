@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
+from idsieve.llm import language, middle, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -98,3 +98,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.remove(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_fill_in_middle", middle.ORACLE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = middle.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
