@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import language, middle, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
+from idsieve.llm import divergence, language, middle, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -106,3 +106,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_source_divergence", divergence.ORACLE_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
