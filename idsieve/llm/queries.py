@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idsieve.llm import divergence, language, middle, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
+from idsieve.llm import divergence, forest, language, middle, mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens
 from idsieve.llm.shared import checkpointed
 from idsieve.llm.words import n_words
 
@@ -111,3 +111,9 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_source_divergence", divergence.ORACLE_SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op12_minhash_forest")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = forest.groups(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))

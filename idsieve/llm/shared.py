@@ -28,4 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the shared folder."""
     path = f"{base_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._idsieve_folder = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once their successors are written; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._idsieve_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
