@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from idsieve.streaming.in_order import InOrder, in_order
+
 
 def client_key(forwarded: Column, host: Column) -> Column:
     """First forwarded hop, else host, else unknown."""
@@ -103,3 +105,38 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_seconds: int) -> DataF
     """hits(client, hit_id, ts_us) as a stream. Needs the RocksDB state store."""
     return hits.groupBy("client").transformWithStateInPandas(
         RateLimiter(limit, window_seconds), OUTPUT, "Append", "None")
+
+
+class OrderedLimiter(InOrder):
+    """Hits wait for the watermark and are decided in the order of their times; a client silent for a window leaves no state."""
+
+    order = ("ts_us", "hit_id")
+
+    def __init__(self, limit: int, window_seconds: int, slot_ms: int):
+        super().__init__(slot_ms)
+        self.limit, self.us = limit, window_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.taken = handle.getValueState("taken", "times array<bigint>")
+
+    def step(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        taken = deque(self.taken.get()[0] if self.taken.exists() else [])
+        ok = [True] * len(pdf) if self.limit <= 0 else admit(pdf["ts_us"], taken, self.limit, self.us)
+        if taken:
+            self.taken.update(([int(t) for t in taken],))
+            self.wake(int(taken[-1]) + self.us)
+        yield pd.DataFrame({"client": key[0], "hit_id": pdf["hit_id"], "ts_us": pdf["ts_us"], "admitted": ok})
+
+    def settle(self, key, upto_ms: int) -> Iterator[pd.DataFrame]:
+        if self.taken.exists() and self.taken.get()[0][-1] + self.us < upto_ms * 1000:
+            self.taken.clear()
+        yield from ()
+
+
+def rate_limit_in_order(hits: DataFrame, limit: int, window_seconds: int, delay: str = "10 seconds", slot_ms: int = 1_000) -> DataFrame:
+    """hits(client, hit_id, ts_us) as a stream, decided as ``rate_limit`` decides the same rows at once.
+
+    A hit is decided when the watermark, ``delay`` behind the newest hit, has passed its slot.
+    """
+    return in_order(hits.select("client", "hit_id", "ts_us"), "client", OrderedLimiter(limit, window_seconds, slot_ms), OUTPUT, delay)

@@ -1,13 +1,23 @@
-"""Camera sessions: a fixed life from creation, frames with motion and comparison."""
+"""Camera sessions: a fixed life from creation, frames with motion and comparison.
+
+The first functions work on whole tables of sessions and frames. ``session_stream`` is the same as a keyed
+state machine over a stream of events of four kinds, with the life of a session ended by a timer.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from idsieve.operators.identity import compare_faces, motion, pad
 from idsieve.operators.ordered import lag_in_order, number_in_order
 from idsieve.settings import DEFAULT
+from idsieve.streaming.in_order import InOrder, in_order
 
 
 def live_frames(frames: DataFrame, sessions: DataFrame, ttl_seconds: int = DEFAULT.session_ttl_seconds) -> DataFrame:
@@ -48,3 +58,108 @@ def frame_results(frames: DataFrame, sessions: DataFrame, ttl_seconds: int = DEF
     """
     alive = live_frames(frames, sessions, ttl_seconds).filter("frame_status = 'CAPTURED'")
     return compare_faces(pad(with_motion(alive)))
+
+
+#: Events of one time are taken in this order, then by event_id.
+KINDS = ("open", "attach", "capture", "close")
+DOC = "doc_count long, doc_embedding array<double>, doc_label string, doc_sha string"
+LOG = f"session_id string, event_id long, ts_us long, kind string, status string, case_id string, captures long, document_attached boolean, prev_gray array<double>, {DOC}"
+
+
+class SessionMachine(InOrder):
+    """open starts a life (anew if there is one), attach keeps a document face, capture counts and keeps the gray
+    thumbnail for the next one, close ends it. A life also ends ``ttl`` after it began, whatever came in between;
+    then the state is dropped and an ``expire`` row is given out. Events without a life find no session.
+    """
+
+    order = ("ts_us", "rank", "event_id")
+
+    def __init__(self, ttl_seconds: int, slot_ms: int):
+        super().__init__(slot_ms)
+        self.us = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.life = handle.getValueState("life", "created_us long, case_id string, captures long")
+        self.gray = handle.getValueState("gray", "gray array<double>")
+        self.face = handle.getValueState("face", DOC)
+
+    def step(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        life = list(self.life.get()) if self.life.exists() else None
+        gray = self.gray.get()[0] if self.gray.exists() else None
+        face = tuple(self.face.get()) if self.face.exists() else None
+        out = []
+        for e in pdf.to_dict("records"):
+            if life is not None and e["ts_us"] - life[0] > self.us:
+                out.append(self._expired(life))
+                life = gray = face = None
+            kind, seen = e["kind"], None
+            if kind == "open":
+                life, gray, face, status = [int(e["ts_us"]), e["case_id"], 0], None, None, "READY"
+                self.wake(life[0] + self.us)
+            elif life is None:
+                status = "SESSION_NOT_FOUND" if kind == "capture" else "NOT_FOUND"
+            elif kind == "attach":
+                embedding = e["doc_embedding"]
+                face = (int(e["doc_count"] or 0), None if embedding is None else [float(x) for x in embedding], e["doc_label"], e["doc_sha"])
+                status = "ATTACHED"
+            elif kind == "capture":
+                life[2] += 1
+                seen, status = gray, "CAPTURED"
+                gray = None if e["gray"] is None else [float(x) for x in np.asarray(e["gray"])]
+            else:
+                status = "CLOSED"
+            out.append((e["event_id"], e["ts_us"], kind, status, *self._shown(life, face), seen,
+                        *(face if kind == "capture" and face else (None,) * 4)))
+            if status == "CLOSED":
+                life = gray = face = None
+        for state, value in ((self.life, life), (self.gray, None if gray is None else (gray,)), (self.face, face)):
+            if value is not None:
+                state.update(tuple(value))
+            elif state.exists():
+                state.clear()
+        yield self._log(key, out)
+
+    def settle(self, key, upto_ms: int) -> Iterator[pd.DataFrame]:
+        life = self.life.get() if self.life.exists() else None
+        if life is not None and life[0] + self.us < upto_ms * 1000:
+            yield self._log(key, [self._expired(life)])
+            for state in (self.life, self.gray, self.face):
+                state.clear()
+
+    def _expired(self, life) -> tuple:
+        return (None, life[0] + self.us, "expire", "EXPIRED", life[1], life[2], None, None, *(None,) * 4)
+
+    @staticmethod
+    def _shown(life, face) -> tuple:
+        return (None, None, None) if life is None else (life[1], life[2], face is not None)
+
+    @staticmethod
+    def _log(key, rows: list[tuple]) -> pd.DataFrame:
+        names = [c.split(" ")[0] for c in LOG.split(", ")]
+        return pd.DataFrame([(key[0], *x) for x in rows], columns=names).astype(
+            {"event_id": "Int64", "captures": "Int64", "document_attached": "boolean", "doc_count": "Int64"})
+
+
+def session_stream(events: DataFrame, ttl_seconds: int = DEFAULT.session_ttl_seconds, delay: str = "10 seconds", slot_ms: int = 1_000) -> DataFrame:
+    """events(session_id, event_id, ts_us, kind, case_id, gray, doc_count, doc_embedding, doc_label, doc_sha) as a stream -> LOG.
+
+    Captures carry what the state held for them: the gray thumbnail before theirs and the attached document face.
+    """
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    doc = [c.split(" ")[0] for c in DOC.split(", ")]
+    rows = events.select(F.col("session_id").cast("string").alias("session_id"), "event_id", "ts_us", "kind", rank.alias("rank"), "case_id",
+                         F.col("gray").cast("array<double>").alias("gray"), *doc)
+    return in_order(rows, "session_id", SessionMachine(ttl_seconds, slot_ms), LOG, delay)
+
+
+def frame_stream(log: DataFrame, frames: DataFrame) -> DataFrame:
+    """Cues and comparison of the captures of a session log; ``frames`` has what each frame measured, by event_id.
+
+    The state only carries what one frame needs of others; the rest meets here, so large measurements never wait in state.
+    """
+    d = log.filter("kind = 'capture'").drop("kind").withColumnRenamed("status", "frame_status").join(frames, "event_id")
+    d = d.withColumn("motion", motion(F.col("prev_gray"), F.col("gray"))).withColumns({
+        "doc": F.struct(F.col("doc_embedding").alias("embedding"), F.col("doc_label").alias("face_label"), F.col("doc_sha").alias("image_sha")),
+        "doc_count": F.coalesce("doc_count", F.lit(0).cast("long"))})
+    return compare_faces(pad(d)).drop("prev_gray", "doc_embedding", "doc_label", "doc_sha")
