@@ -138,10 +138,11 @@ def _hits(spark, sf):
 
 
 # The recursive rule in SQL: with a limit of two, the state is the two last admitted times.
-query("st_rate_limit", f"""WITH RECURSIVE h AS (SELECT 'user' || user_id AS client, event_id AS hit_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM {EVENTS_DUCK} e),
+RATE_SQL = f"""WITH RECURSIVE h AS (SELECT 'user' || user_id AS client, event_id AS hit_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM {EVENTS_DUCK} e),
  w AS (SELECT client, hit_id, rn, true AS admitted, ts_us AS a1, CAST(NULL AS BIGINT) AS a2 FROM h WHERE rn = 1 UNION ALL
   SELECT h.client, h.hit_id, h.rn, w.a2 IS NULL OR h.ts_us - w.a2 > 21600000000, CASE WHEN w.a2 IS NULL OR h.ts_us - w.a2 > 21600000000 THEN h.ts_us ELSE w.a1 END, CASE WHEN w.a2 IS NULL OR h.ts_us - w.a2 > 21600000000 THEN w.a1 ELSE w.a2 END
-  FROM w JOIN h ON h.client = w.client AND h.rn = w.rn + 1) SELECT client, hit_id, admitted FROM w""")(
+  FROM w JOIN h ON h.client = w.client AND h.rn = w.rn + 1) SELECT client, hit_id, admitted FROM w"""
+query("st_rate_limit", RATE_SQL)(
     lambda s, sf: rl.rate_limit(_hits(s, sf), 2, 21600).select("client", "hit_id", "admitted"))
 
 # --- cases ------------------------------------------------------------------------------------------------

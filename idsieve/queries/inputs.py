@@ -26,6 +26,10 @@ def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def derive_from(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    return spark.sql(sql, **frames)
+
+
 def plain(sql: str) -> str:
     """The same text for an engine that knows the tables by name."""
     for t in TABLES:
