@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idsieve.functions.fixed import BANNER, DISCLAIMER
 from idsieve.operators.ordered import last_per_key, number_in_order, top_k_per_key
 
 CASE_PREFIX = "DS"
@@ -87,13 +88,6 @@ EVIDENCE_SUMMARY = {
     "tampering_severity": "$.tampering.severity", "face_status": "$.face.status",
     "cross_validation": "$.cross_validation.overall", "calibration": "$.calibration.status",
 }
-DISCLAIMER = (
-    "This report is an AI-assisted screening summary for authorized reviewers. It is not a legal "
-    "authenticity certificate, not an official government verification result, and not a "
-    "blockchain-anchored credential unless explicitly marked otherwise (current build: LOCAL only)."
-)
-BANNER = "DEMO / SYNTHETIC PROXY SIGNALS — NOT OFFICIAL VERIFICATION"
-
 
 def number(text: Column) -> Column:
     """Stored score text as a number; N/A and blank give null."""
