@@ -8,7 +8,8 @@ depth follows the data; in a region that is small enough, all its documents are
 Whatever the data, no order goes deeper than ``last`` positions, so two documents of similarity s are missed
 by all orders with a chance of at most (1 - s ** last) ** orders: 6 in 100,000 at 0.8 if every region around them is split
 to the end, below 1 in 10^9 where regions end at ``first``. Regions that are still crowded at the end go an exact
-way: groups that are linked by then need no comparison inside, and all other pairs are compared, in blocks.
+way: groups that are linked by then need no comparison inside, and all other pairs are compared on their full sets, in
+blocks.
 
 Equal sets are one entry all along. Candidates must have sizes that allow the similarity, and sketches (one bit
 of each minimum) that differ in at most ``bits_apart`` places, which a pair at the limit exceeds with a chance of
@@ -50,8 +51,9 @@ class Forest:
     last: int = 6
     region: int = 32
     bits_apart: int = 32
-    quick: int = 4  # orders that are looked at first, one pair per document
-    block: int = 1_024
+    quick: int = 4  # orders that are looked at first, one pair per document or group
+    rounds: int = 1
+    block: int = 200_000  # shingles that are held at once where a crowded region is compared in full
     seed: int = 42
 
     def positions(self) -> np.ndarray:
@@ -201,17 +203,22 @@ def region_pairs(rows: DataFrame, how: Forest) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, group_a long, group_b long, off long")
 
 
+def texts_of(nodes: DataFrame, entries: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(node, text) of the nodes: a text whose set is the entry's."""
+    wanted = entries.select("node", "key", "own").join(nodes, "node")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col(key).alias("k"), F.md5(text).alias("o"), text.alias("text"))
+    same = F.col("k").eqNullSafe(F.col("key")) & (F.col("o") == F.col("own"))
+    return rows.join(wanted, same).groupBy("key", "own", "node").agg(F.any_value("text").alias("text")).select("node", "text")
+
+
 def confirmed(pairs: DataFrame, entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as a table."""
     pairs = pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = entries.select("node", "key", "own").join(wanted, "node")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(key).alias("k"), F.md5(text).alias("o"), text.alias("text"))
-    texts = rows.join(wanted, F.col("k").eqNullSafe(F.col("key")) & (F.col("o") == F.col("own"))).groupBy("key", "own", "node").agg(
-        F.any_value("text").alias("text"))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = texts_of(wanted, entries, docs, key)
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(
+        texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         known = Hashes()
@@ -234,20 +241,75 @@ def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.drop("group").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
 
 
-def crowded_pairs(rows: DataFrame, how: Forest) -> DataFrame:
-    """All possible pairs of different groups inside crowded regions: whoever is not of a region's largest group meets all, in blocks."""
-    sizes = rows.groupBy("region", "group").agg(F.count("*").alias("c")).groupBy("region").agg(
-        F.max_by("group", F.struct("c", "group")).alias("most"), F.count("*").alias("groups"), F.sum("c").alias("c"))
-    sizes = sizes.filter("groups > 1").select("region", "most", F.ceil(F.col("c") / how.block).cast("int").alias("blocks"))
-    entry = F.struct("node", "group", "n", *sketch_columns(how))
-    dealt = rows.join(sizes, "region").select("region", "most", "blocks", entry.alias("x"))
-    few = dealt.filter(F.col("x.group") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = dealt.select("region", F.pmod(F.xxhash64("x.node"), F.col("blocks")).cast("int").alias("block"), F.col("x").alias("y"))
-    met = few.join(each, ["region", "block"]).filter(
-        (F.col("x.group") != F.col("y.group")) & ((F.col("y.group") == F.col("most")) | (F.col("x.node") < F.col("y.node"))) & possible(how, "x", "y"))
-    turn = lambda p, q, f: F.when(F.col("x.node") < F.col("y.node"), F.col(f"{p}.{f}")).otherwise(F.col(f"{q}.{f}"))
-    return met.select(turn("x", "y", "node").alias("a"), turn("y", "x", "node").alias("b"), turn("x", "y", "group").alias("group_a"),
-                      turn("y", "x", "group").alias("group_b"), bits(how, "x", "y").cast("long").alias("off"))
+def open_regions(rows: DataFrame) -> DataFrame:
+    """The rows, with ``size``, of regions that hold more than one group."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("group").alias("_a"), F.max("group").alias("_b"))
+    return rows.join(sizes.filter("_a < _b").select("region", "size"), "region")
+
+
+def crowded_links(rows: DataFrame, entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFrame:
+    """All links between different groups inside crowded regions, as a table.
+
+    A region's entries are dealt into blocks of about ``block`` shingles. Whoever is not of the region's largest
+    group visits every block, one after the other, and is counted against all its full sets at once; only links
+    come out. So a family of texts just below the limit costs comparisons, but no rows.
+    """
+    sizes = rows.groupBy("region", "group").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("region").agg(
+        F.max_by("group", F.struct("c", "group")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+    sizes = sizes.filter("groups > 1").select("region", "most", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
+    dealt = written(rows.select("region", "node", "group").join(sizes, "region"), "crowded")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = dealt.select("region", own.alias("block"), F.lit(False).alias("visits"), "node", "group", "most")
+    visits = dealt.filter("group <> most").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "node", "group", "most")
+    texts = texts_of(dealt.select("node").distinct(), entries, docs, key)
+    met = members.unionByName(visits).join(texts, "node").repartition("region", "block").sortWithinPartitions("region", "block", "visits", "node")
+
+    def run(batches):
+        known, at, block = Hashes(), None, None
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for region, number, visit, node, group, most, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (region, number) != at:
+                    at, block = (region, number), Block(how)
+                s = shingle_set(text, how.words, known)
+                if visit:
+                    found += [(min(node, y), max(node, y)) for y in block.similar(s, node, group, most)]
+                else:
+                    block.add(s, node, group)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    out = written(met.select("region", "block", "visits", "node", "group", "most", "text").mapInArrow(run, "a long, b long").distinct(), "links")
+    removed(dealt)
+    return out
+
+
+class Block:
+    """Sets that visiting sets are counted against."""
+
+    def __init__(self, how: Forest):
+        self.how, self.sets, self.nodes, self.groups = how, [], [], []
+        self.values = None
+
+    def add(self, s: np.ndarray, node: int, group: int) -> None:
+        self.sets.append(s)
+        self.nodes.append(node)
+        self.groups.append(group)
+
+    def similar(self, s: np.ndarray, node: int, group: int, most: int) -> list[int]:
+        if self.values is None and self.sets:
+            self.sizes = np.array([len(x) for x in self.sets])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.values, self.ids = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.nodes, self.groups, self.sets = np.array(self.nodes), np.array(self.groups), []
+        if self.values is None:
+            return []
+        has = np.zeros(len(self.values), dtype=np.int64)
+        has[np.searchsorted(self.values, np.intersect1d(self.values, s, assume_unique=True))] = 1
+        same = np.add.reduceat(has[self.ids], self.starts)
+        near = 100 * same >= self.how.percent * (self.sizes + len(s) - same)
+        near &= (self.groups != group) & ((self.groups == most) | (self.nodes > node))
+        return self.nodes[near].tolist()
 
 
 def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFrame:
@@ -258,16 +320,28 @@ def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFra
     lead = rows.groupBy("region").agg(F.min_by("x", F.xxhash64(F.col("x.node"))).alias("y"))
     near = rows.join(lead, "region").filter((F.col("x.node") != F.col("y.node")) & possible(how, "x", "y"))
     near = near.groupBy(F.col("x.node").alias("b")).agg(F.min(F.struct(bits(how, "x", "y"), F.col("y.node").alias("a"))).alias("of"))
-    edges = confirmed(written(near.select("of.a", "b"), "nearest"), entries, docs, how, key)
+    near = written(near.select("of.a", "b"), "nearest")
+    edges = confirmed(near, entries, docs, how, key)
     found = written(components(edges), "groups")
+    # Large groups of near copies grow together when each of their parts takes its nearest other part, met in blocks
+    # into which regions are dealt anew every time.
+    for turn in range(how.rounds):
+        rows = open_regions(grouped(prefixes(entries.drop("key", "own", "digest"), how, range(how.quick)), found))
+        block = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / how.region))
+        pairs = written(region_pairs(rows.withColumn("region", F.xxhash64("region", block)), how), "pairs")
+        sides = reduce(DataFrame.unionByName, [pairs.select(F.col(f"group_{x}").alias("group"), F.struct("off", "a", "b").alias("of")) for x in "ab"])
+        best = written(sides.groupBy("group").agg(F.min("of").alias("of")).select("of.a", "of.b").distinct(), "nearest")
+        removed(pairs)
+        if not best.take(1):
+            break
+        edges = edges.unionByName(confirmed(best, entries, docs, how, key))
+        found = written(components(edges), "groups")
 
     # Then all orders, down to small regions; entries of one group are no longer candidates of each other.
     rows = grouped(prefixes(entries.drop("key", "own", "digest"), how, range(how.orders)), found)
     pairs, above = [], None
     for depth in range(how.first, how.last + 1):
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("group").alias("_a"), F.max("group").alias("_b"))
-        sizes = sizes.filter("_a < _b").select("region", "size")
-        open_rows = written(rows.join(sizes, "region"), "regions")
+        open_rows = written(open_regions(rows), "regions")
         if above is not None:
             removed(above)
         pairs.append(written(region_pairs(open_rows.filter(F.col("size") <= how.region), how), "pairs"))
@@ -278,9 +352,8 @@ def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFra
     removed(*pairs)
 
     # What is still crowded is compared in full.
-    rest = written(crowded_pairs(grouped(rows, found), how), "pairs")
-    edges, _ = connected(rest, edges, found, entries, docs, how, key)
-    removed(above, rest)
+    edges = edges.unionByName(crowded_links(grouped(rows, found), entries, docs, how, key))
+    removed(above)
     return edges
 
 

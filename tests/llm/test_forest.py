@@ -61,7 +61,7 @@ def test_crowded_family_goes_the_exact_way(spark):
             at = rnd.randrange(29)
             made.append(" ".join(template + own[:at] + [f"z{k}"] + own[at + 1:]).upper())
     rnd.shuffle(made)
-    check(spark, made, forest.Forest(region=4, block=16))
+    check(spark, made, forest.Forest(region=4, block=3_000))
 
 
 def test_chain_and_tie_at_the_limit(spark):
