@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idsieve.operators import (
     audit, cases, cells as oc, classify, decision, evidence, fields as of, forensics as fo,
-    identity, intake, models, mrz, ocr, quality,
+    identity, intake, models, mrz, ocr, quality, rasters,
 )
 from idsieve.settings import DEFAULT, Settings
 from idsieve.sources.profiles import with_profile
@@ -95,6 +95,11 @@ def tamper_job(gray: DataFrame, planes: DataFrame | None, tile: int = 32, block:
     return out.join(spots, "doc_id", "left").withColumn("hotspot_count", F.coalesce("hotspot_count", F.lit(0)))
 
 
+def image_job(images: DataFrame, how: rasters.Raster = rasters.Raster()) -> DataFrame:
+    """``tamper_job`` for images that are rows: all six signals, flags, severity, hotspots and heat summary in one pass."""
+    return fo.review(rasters.tamper_signals(images, how)).withColumn("tamper_status", F.lit("ANALYZED"))
+
+
 def text_visual_job(regions: DataFrame) -> DataFrame:
     """Typography and splicing per document."""
     r = fo.usable_regions(regions)

@@ -1,10 +1,12 @@
 """Quality, cell, tile, heat-map and region queries over embeddings, orders and line items."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from idsieve.functions.common import r
 from idsieve.functions.fixed import QUALITY_WEIGHTS, TAMPER_THRESHOLDS, TAMPER_WEIGHTS
-from idsieve.operators import cells as oc, forensics as fo, quality as oq
+from idsieve.operators import cells as oc, forensics as fo, quality as oq, rasters as ra
 from idsieve.queries import inputs as I
 from idsieve.queries.registry import query
 
@@ -37,6 +39,23 @@ def cells(spark, sf):
     return I.derive(spark, sf, CELLS_SPARK)
 
 
+#: The same images as rows, with the planes as arrays.
+_GRAY = "transform(embedding, v -> CAST(v AS DOUBLE) * 300 + 128)"
+IMAGES_SPARK = f"""SELECT doc_id, 8 AS img_h, 8 AS img_w, gray, transform(gray, v -> abs(v - 128)) AS ela,
+ transform(gray, (v, i) -> abs(v - 128) * (1 + (floor(i / 8) + i % 8) % 3)) AS hf, transform(gray, (v, i) -> abs(v - 100) + floor(i / 8)) AS noise,
+ transform(gray, v -> floor(v / 40) * 10.0D) AS flat FROM (SELECT vec_id AS doc_id, {_GRAY} AS gray FROM {{embeddings}}) g"""
+SMALL = ra.Raster(tile=2, local_tile=2, ela_tile=2, block=2, grid=4, copy_guard=4, levels=40.0, edge_threshold=90.0)
+
+
+def images(spark, sf):
+    return I.derive(spark, sf, IMAGES_SPARK)
+
+
+def with_width(arrays, source):
+    """The arrays of each image beside its width; images are rows of one table, so this is a projection of it."""
+    return ra.cells_of(arrays.withColumn("img_w", F.lit(8)), source)
+
+
 def c01(x: str) -> str:
     return f"greatest(least({x}, 1.0), 0.0)"
 
@@ -113,14 +132,14 @@ NEIGH = f"""SELECT *, l + rr + u + d - 4 * value AS laplacian, abs(value - (hu +
 
 @query("win_laplacian", f"SELECT doc_id, r, c, round(laplacian, 6) AS laplacian, round(residual, 6) AS residual FROM ({NEIGH}) n")
 def q_laplacian(spark, sf):
-    return oc.neighbours(cells(spark, sf)).select(
+    return with_width(ra.stencils(images(spark, sf)), ["laplacian", "residual"]).select(
         "doc_id", "r", "c", F.round("laplacian", 6).alias("laplacian"), F.round("residual", 6).alias("residual"))
 
 
 @query("agg_pixel_stats", f"""SELECT doc_id, round(avg(value), 4) AS mean_brightness, round(stddev_pop(value), 4) AS contrast_std,
  round(avg(residual), 4) AS noise_level, round(var_pop(laplacian), 4) AS laplacian_variance FROM ({NEIGH}) n GROUP BY doc_id""")
 def q_pixel_stats(spark, sf):
-    return oc.pixel_stats(oc.neighbours(cells(spark, sf))).select(
+    return ra.statistics(images(spark, sf), SMALL).select(
         "doc_id", *[F.round(c, 4).alias(c) for c in ("mean_brightness", "contrast_std", "noise_level", "laplacian_variance")])
 
 
@@ -133,12 +152,8 @@ def tile_sql(src: str, value: str, size: int, step: int) -> str:
 FROM (SELECT doc_id, stddev_pop(tv) / (avg(tv) + 1e-6) AS cv FROM ({tile_sql(NEIGH, 'residual', 2, 3)}) t GROUP BY doc_id) a
 JOIN (SELECT doc_id, stddev_pop(ts) / (avg(ts) + 1e-6) AS cv FROM ({tile_sql(NEIGH, 'laplacian', 2, 2)}) t GROUP BY doc_id) b ON a.doc_id = b.doc_id""")
 def q_tile_stats(spark, sf):
-    m = oc.neighbours(cells(spark, sf))
-    a = oc.tile_cv(oc.tiles(m, "residual", 2, 3), "tile_var", "compression_inconsistency")
-    b = oc.tile_cv(oc.tiles(m, "laplacian", 2, 2), "tile_std", "noise_inconsistency")
-    return a.join(b, ["doc_id", "plane"]).select(
-        "doc_id", F.round("compression_inconsistency", 6).alias("compression_inconsistency"),
-        F.round("noise_inconsistency", 6).alias("noise_inconsistency"))
+    return ra.statistics(images(spark, sf), replace(SMALL, block_step=3)).select(
+        "doc_id", *[F.round(c, 6).alias(c) for c in ("compression_inconsistency", "noise_inconsistency")])
 
 
 def max_z_sql(src: str, value: str) -> str:
@@ -150,9 +165,8 @@ MAXZ = max_z_sql(NEIGH, "residual")
 
 @query("agg_tile_max_z", f"SELECT doc_id, round(max_z, 6) AS max_z, round({c01('max_z / 6.0')}, 6) AS local_image_anomaly FROM ({MAXZ}) z")
 def q_max_z(spark, sf):
-    z = oc.tile_max_z(oc.tiles(oc.neighbours(cells(spark, sf)), "residual", 2, 2), "tile_mean", "max_z")
-    return z.select("doc_id", F.round("max_z", 6).alias("max_z"),
-                    F.round(fo.local_anomaly(F.col("max_z")), 6).alias("local_image_anomaly"))
+    return ra.statistics(images(spark, sf), SMALL).select(
+        "doc_id", F.round("local_max_z", 6).alias("max_z"), F.round(fo.local_anomaly(F.col("local_max_z")), 6).alias("local_image_anomaly"))
 
 
 @query("agg_edge_bands", f"""SELECT doc_id, round(te, 4) AS top_edge, round(me, 4) AS mid_edge, round(be, 4) AS bottom_edge,
@@ -163,8 +177,7 @@ def q_max_z(spark, sf):
  FROM (SELECT *, CASE WHEN gradient > 90 THEN 255.0 ELSE 0.0 END::DOUBLE AS e FROM ({NEIGH}) n) n1 GROUP BY doc_id) z""")
 def q_edge_bands(spark, sf):
     names = ["top_edge", "mid_edge", "bottom_edge", "photo_left_bias", "edge_inconsistency"]
-    return oc.edge_bands(oc.neighbours(cells(spark, sf)), 90.0).select(
-        "doc_id", *[F.round(c, 4).alias(c) for c in names])
+    return ra.statistics(images(spark, sf), SMALL).select("doc_id", *[F.round(c, 4).alias(c) for c in names])
 
 
 def _steps(axis, other):
@@ -175,7 +188,7 @@ def _steps(axis, other):
 @query("q_blockiness", f"""SELECT doc_id, round(avg(CASE WHEN k = 'b' THEN ln END) / (avg(CASE WHEN k = 'i' THEN ln END) + 1e-6), 4) AS blockiness
 FROM ({_steps('c', 'r')} UNION ALL {_steps('r', 'c')}) z GROUP BY doc_id""")
 def q_blockiness(spark, sf):
-    return oc.blockiness(cells(spark, sf), 4).select("doc_id", F.round("blockiness", 4).alias("blockiness"))
+    return ra.block_steps(images(spark, sf), 4).select("doc_id", F.round("blockiness", 4).alias("blockiness"))
 
 
 HSV_SQL = f"""SELECT *, CASE WHEN floor(deg / 2 + 0.5) < 0 THEN floor(deg / 2 + 0.5) + 180 ELSE floor(deg / 2 + 0.5) END AS h FROM (
@@ -211,21 +224,29 @@ def norm_sql(src: str, extra: str = "") -> str:
 
 @query("win_percentile_norm", f"SELECT doc_id, plane, r, c, round(norm, 6) AS norm FROM ({norm_sql(PLANES_SQL)}) n")
 def q_norm(spark, sf):
-    return oc.percentile_norm(I.derive(spark, sf, PLANES_SPARK)).select(
-        "doc_id", "plane", "r", "c", F.round("norm", 6).alias("norm"))
+    planes = ["ela", "hf", "noise"]
+    rows = with_width(ra.normals(images(spark, sf), planes), planes)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), F.round(p, 6).alias("norm")) for p in planes]))
+    return rows.select("doc_id", "r", "c", each.alias("x")).select("doc_id", "x.plane", "r", "c", "x.norm")
 
 
 MIX = f"SELECT doc_id, 'heat' AS plane, r, c, sum(CASE plane WHEN 'ela' THEN 0.45 WHEN 'hf' THEN 0.30 ELSE 0.25 END::DOUBLE * norm) AS value FROM ({norm_sql(PLANES_SQL)}) n GROUP BY doc_id, r, c"
 HEAT = f"SELECT doc_id, r, c, norm AS score FROM ({norm_sql(MIX)}) h"
 
 
-def heat(spark, sf):
-    return oc.heat_blend(I.derive(spark, sf, PLANES_SPARK)).withColumns({"img_h": F.lit(8), "img_w": F.lit(8)})
+def maps(spark, sf, pixels=False):
+    return ra.heat_maps(images(spark, sf), 4, 4, pixels)
+
+
+def grid(spark, sf):
+    cell = maps(spark, sf).select("doc_id", F.posexplode("grid").alias("at", "score")).filter("score IS NOT NULL")
+    return cell.select("doc_id", F.floor(F.col("at") / 4).cast("int").alias("grid_row"), (F.col("at") % 4).cast("int").alias("grid_col"), "score",
+                       F.lit(8).alias("img_h"), F.lit(8).alias("img_w"))
 
 
 @query("fs_heat_blend", f"SELECT doc_id, r, c, round(score, 5) AS score FROM ({HEAT}) h")
 def q_heat(spark, sf):
-    return heat(spark, sf).select("doc_id", "r", "c", F.round("score", 5).alias("score"))
+    return with_width(maps(spark, sf, pixels=True), ["score"]).select("doc_id", "r", "c", F.round("score", 5).alias("score"))
 
 
 GRID = f"SELECT doc_id, ((r + 1) * 4 - 1) // 8 AS gr, ((c + 1) * 4 - 1) // 8 AS gc, round(avg(score) + 1e-9, 4) AS score FROM ({HEAT}) h GROUP BY ALL"
@@ -233,22 +254,42 @@ GRID = f"SELECT doc_id, ((r + 1) * 4 - 1) // 8 AS gr, ((c + 1) * 4 - 1) // 8 AS
 
 @query("fs_grid", f"SELECT doc_id, gr AS grid_row, gc AS grid_col, score FROM ({GRID}) g")
 def q_grid(spark, sf):
-    return oc.grid(heat(spark, sf), 4, 4).select("doc_id", "grid_row", "grid_col", "score")
+    return grid(spark, sf).select("doc_id", "grid_row", "grid_col", "score")
+
+
+@query("fs_heat_summary", f"""SELECT doc_id, round(least(max(score), 1.0) + 1e-9, 4) AS peak_score, round(avg(score) + 1e-9, 4) AS mean_score,
+ round(avg(CASE WHEN score >= 0.65 THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS high_anomaly_coverage FROM ({HEAT}) h GROUP BY doc_id""")
+def q_heat_summary(spark, sf):
+    return maps(spark, sf).select("doc_id", "peak_score", "mean_score", "high_anomaly_coverage")
 
 
 @query("top_hotspots", f"""SELECT doc_id, rank, gr AS grid_row, gc AS grid_col, score, gc * 2 AS x, gr * 2 AS y, 2 AS w, 2 AS h FROM (
  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gr DESC, gc DESC) AS rank FROM ({GRID}) g WHERE score >= 0.65) t WHERE rank <= 8""")
 def q_hotspots(spark, sf):
-    return oc.hotspots(oc.grid(heat(spark, sf), 4, 4), 4, 4)
+    return oc.hotspots(grid(spark, sf), 4, 4)
+
+
+def copy_sql(value: str, levels: int) -> str:
+    """Blocks with the same steps from their mean; how alike the outermost two by rows or by columns are."""
+    end = "arg_{}({{'v': v, 'm': m, 'sd': sd, 'br': br, 'bc': bc}}, {})"
+    by_row, by_col = "br * 1000 + bc", "bc * 1000 + br"
 
+    def alike(a: str, z: str) -> str:
+        dot = f"list_sum(list_transform(range(1, 5), lambda i: ({a}.v[i] - {a}.m) * ({z}.v[i] - {z}.m)))"
+        return f"CASE WHEN greatest(abs({a}.br - {z}.br), abs({a}.bc - {z}.bc)) * 2 >= 4 THEN {dot} / (4 * {a}.sd * {z}.sd) END"
 
+    return f"""SELECT doc_id, CASE WHEN x IS NOT NULL THEN {c01('x')} END AS copied FROM (SELECT doc_id, max(greatest({alike('p', 'q')}, {alike('s', 't')})) AS x FROM (
+ SELECT doc_id, {end.format('min', by_row)} AS p, {end.format('max', by_row)} AS q, {end.format('min', by_col)} AS s, {end.format('max', by_col)} AS t FROM (
+  SELECT *, list_transform(v, lambda x: CAST(round((x - m) / {levels}) AS INT)) AS sig FROM (
+   SELECT doc_id, r // 2 AS br, c // 2 AS bc, list(x ORDER BY r, c) AS v, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT doc_id, r, c, {value} AS x FROM ({CELLS_SQL}) c0) c1 GROUP BY ALL) b0
+  WHERE sd > 1e-6) b1 GROUP BY doc_id, sig HAVING count(*) > 1) e GROUP BY doc_id) e1"""
 
 
-@query("join_block_copy")
+@query("join_block_copy", f"""SELECT d.doc_id, coalesce(round(copied, 4), -1.0) AS copy_move_indicators FROM (SELECT vec_id AS doc_id FROM embeddings) d
+LEFT JOIN ({copy_sql('floor(value / 40) * 10.0::DOUBLE', 10)}) k ON k.doc_id = d.doc_id""")
 def q_copies(spark, sf):
-    return oc.block_copies(cells(spark, sf).withColumn("value", F.floor(F.col("value") / 40) * 10.0),
-                           block=2, guard=4, levels=10.0).select(
-        "doc_id", F.round("copy_move_indicators", 4).alias("copy_move_indicators"))
+    found = ra.copies(images(spark, sf), replace(SMALL, levels=10.0), "flat")
+    return found.select("doc_id", F.coalesce(F.round("copy_move_indicators", 4), F.lit(-1.0)).alias("copy_move_indicators"))
 
 
 # --- signals -----------------------------------------------------------------------------
@@ -281,10 +322,8 @@ ELA = f"SELECT m.doc_id, round({c01('0.55 * (mr / 25.0) + 0.45 * (z.max_z / 6.0)
 
 @query("fs_ela_score", ELA)
 def q_ela(spark, sf):
-    m = oc.neighbours(cells(spark, sf))
-    z = oc.tile_max_z(oc.tiles(m, "residual", 2, 2), "tile_mean", "max_z")
-    d = m.groupBy("doc_id", "plane").agg(F.avg("residual").alias("mr")).join(z, ["doc_id", "plane"])
-    return d.select("doc_id", F.round(fo.ela_score(F.col("mr"), F.col("max_z")), 6).alias("ela_inconsistency"))
+    d = ra.statistics(images(spark, sf), SMALL)
+    return d.select("doc_id", F.round(fo.ela_score(F.col("noise_level"), F.col("local_max_z")), 6).alias("ela_inconsistency"))
 
 
 def _cv(value: str, stat: str, step: int) -> str:
@@ -292,25 +331,23 @@ def _cv(value: str, stat: str, step: int) -> str:
 
 
 _ELA_PLANE = f"SELECT * FROM ({PLANES_SQL}) p0 WHERE plane = 'ela'"
-# Block copies have no SQL twin, so this query leaves their signal out; join_block_copy computes it.
 TAMPER_SIGNALS = f"""SELECT z.doc_id, {c01('0.55 * (em.mr / 25.0) + 0.45 * (ez.max_z / 6.0)')} AS ela_inconsistency, co.cv AS compression_inconsistency,
-  nz.cv AS noise_inconsistency, {c01('z.max_z / 6.0')} AS local_image_anomaly, ed.x AS edge_inconsistency, 0.0::DOUBLE AS copy_move_indicators
+  nz.cv AS noise_inconsistency, {c01('z.max_z / 6.0')} AS local_image_anomaly, ed.x AS edge_inconsistency, coalesce(cm.copied, 0.0) AS copy_move_indicators
  FROM ({MAXZ}) z JOIN ({max_z_sql(_ELA_PLANE, 'value')}) ez ON ez.doc_id = z.doc_id
  JOIN (SELECT doc_id, avg(value) AS mr FROM ({_ELA_PLANE}) p1 GROUP BY doc_id) em ON em.doc_id = z.doc_id
  JOIN ({_cv('residual', 'tv', 4)}) co ON co.doc_id = z.doc_id JOIN ({_cv('laplacian', 'ts', 2)}) nz ON nz.doc_id = z.doc_id
  JOIN (SELECT doc_id, {c01('abs(avg(CASE WHEN r < 8 // 3 THEN e END) - avg(CASE WHEN r >= 16 // 3 THEN e END)) * 4')} AS x
-  FROM (SELECT doc_id, r, CASE WHEN gradient > 90 THEN 1.0 ELSE 0.0 END::DOUBLE AS e FROM ({NEIGH}) n) n1 GROUP BY doc_id) ed ON ed.doc_id = z.doc_id"""
+  FROM (SELECT doc_id, r, CASE WHEN gradient > 90 THEN 1.0 ELSE 0.0 END::DOUBLE AS e FROM ({NEIGH}) n) n1 GROUP BY doc_id) ed ON ed.doc_id = z.doc_id
+ LEFT JOIN ({copy_sql('value', 40)}) cm ON cm.doc_id = z.doc_id"""
 TAMPER = f"""SELECT m.doc_id, severity, review_score, flags, coalesce(n, 0) AS hotspot_count FROM ({review_sql(TAMPER_SIGNALS)}) m
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({GRID}) g WHERE score >= 0.65 GROUP BY doc_id) k ON k.doc_id = m.doc_id"""
 
 
 @query("job_tamper", TAMPER)
 def job_tamper(spark, sf):
-    from idsieve.plans.jobs import tamper_job
-    return tamper_job(cells(spark, sf), I.derive(spark, sf, PLANES_SPARK), tile=2, block=2, grid=4,
-                      copy_guard=None, edge_threshold=90.0, local_tile=2, ela_tile=2).select(
-        "doc_id", "severity", "review_score", F.array_join("flags", ",").alias("flags"),
-        F.col("hotspot_count").cast("long").alias("hotspot_count"))
+    from idsieve.plans.jobs import image_job
+    return image_job(images(spark, sf), SMALL).select(
+        "doc_id", "severity", "review_score", F.array_join("flags", ",").alias("flags"), "hotspot_count")
 
 
 # --- text regions ---------------------------------------------------------------------------

@@ -57,9 +57,7 @@ def q_screen(spark, sf):
         "doc_id", "overall_quality", F.col("overall_quality").alias("evidence_quality"),
         "insufficient_for_analysis", "reason")
     types = jobs.classify_job(qv.cues(spark, sf), qv.CW, qv.CB).select("doc_id", "document_type", "type_confidence")
-    tamper = jobs.tamper_job(qi.cells(spark, sf), I.derive(spark, sf, qi.PLANES_SPARK), tile=2, local_tile=2, ela_tile=2, block=2, grid=4,
-                             copy_guard=4, edge_threshold=90.0).select(
-        "doc_id", "severity", "review_score", "tamper_status")
+    tamper = jobs.image_job(qi.images(spark, sf), qi.SMALL).select("doc_id", "severity", "review_score", "tamper_status")
     drop = ["vec_id", "label", "evidence_quality", "ocr_confidence", "field_completeness", "doc_type_confidence",
             "mrz_check_pass_rate", "mrz_parsed"]
     vision = qv.fusion_inputs(spark, sf).drop(*drop).withColumns({
