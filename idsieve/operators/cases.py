@@ -15,14 +15,13 @@ SHOWN = "N/A"
 def allocate_ids(intake: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """intake(doc_id, submitted_at) -> case_id = prefix-year-number, numbered by arrival per year.
 
-    Numbering adds per-minute offsets to the place within the minute, so that no
-    task sorts a whole year. ``existing(year, taken)`` holds numbers already given.
+    Numbering adds the offsets of ranges of about equal size to the place within the range, so that no
+    task sorts a whole year, nor a busy minute. ``existing(year, taken)``, one row a year, holds numbers already given.
     """
     d = intake.withColumn("year", F.year("submitted_at"))
-    d = number_in_order(d, ["year"], [F.col("submitted_at"), F.col("doc_id")],
-                        F.date_trunc("minute", F.col("submitted_at")))
+    d = number_in_order(d, ["year"], [F.col("submitted_at"), F.col("doc_id")])
     if existing is not None:
-        d = d.join(F.broadcast(existing), "year", "left").withColumn(
+        d = d.join(existing.groupBy("year").agg(F.max("taken").alias("taken")), "year", "left").withColumn(
             "seq", F.col("seq") + F.coalesce("taken", F.lit(0))).drop("taken")
     return d.withColumn("case_id", F.format_string(f"{CASE_PREFIX}-%d-%06d", F.col("year"), F.col("seq")))
 

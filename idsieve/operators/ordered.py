@@ -48,13 +48,36 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Column, by) -> DataFrame:
     )
 
 
+SAMPLE = 4_096
+
+
+def ranges(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> Column:
+    """Number of the range that a row's ``order`` falls into, in ranges that hold about equally many rows.
+
+    Borders are taken from a sample of at most SAMPLE rows, those with the least hashes, so that a minute that holds
+    half of the rows is half of the ranges. ``order`` should tell rows apart: rows with equal order stay together. The
+    borders decide how work is spread, never what comes out.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    seen = df.select(at.alias("at")).orderBy(F.xxhash64("at")).limit(SAMPLE)
+    sample = seen.agg(F.sort_array(F.collect_list("at")).alias("all")).first()["all"]
+    borders = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+    if not borders:
+        return F.lit(0)
+    kinds = [f.dataType for f in seen.schema["at"].dataType.fields]
+    known = F.array(*[F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(b, kinds, strict=True))]) for b in borders])
+    return F.size(F.filter(known, lambda b: b <= at))
+
+
 def lag_in_order(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
-                 bucket: Column, prefix: str = "prev_") -> DataFrame:
+                 bucket: Column | None = None, prefix: str = "prev_") -> DataFrame:
     """Previous row's ``values`` per key in ``order``.
 
-    ``bucket`` must not decrease with ``order``. The last row of every bucket is
+    ``bucket`` must not decrease with ``order``; by default it is one of ``ranges``. The last row of every bucket is
     carried to the next bucket of the key; within a bucket it is a plain lag.
     """
+    bucket = ranges(df, [F.col(order)]) if bucket is None else bucket
     payload = F.struct(*[F.col(v) for v in values])
     keyed = df.withColumn("_bucket", bucket)
     local = Window.partitionBy(*keys, "_bucket").orderBy(order)
@@ -70,9 +93,11 @@ def lag_in_order(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
     return joined.select(*df.columns, *[prev[v].alias(prefix + v) for v in values])
 
 
-def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column | None = None,
                     name: str = "seq") -> DataFrame:
-    """1-based row number per key: rows of earlier buckets plus the place in the own one."""
+    """1-based row number per key: rows of earlier buckets (by default of ``ranges``) plus the place in the own one."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    bucket = ranges(df, order) if bucket is None else bucket
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(

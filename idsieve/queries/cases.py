@@ -110,11 +110,11 @@ query("st_session", f"SELECT event_id, user_id AS session_id, CASE WHEN ts_us -
 query("st_active_sessions", f"SELECT count(*) AS active_sessions FROM {_SESS} s WHERE created_us <= 1704153600000000 AND 1704153600000000 - created_us <= {TTL}000000")(
     lambda s, sf: ss.active_sessions(open_sessions(s, sf), F.lit(1704153600000000), TTL))
 query("win_capture_seq", f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS captures FROM {EVENTS_DUCK} e")(
-    lambda s, sf: ss.capture_numbers(events(s, sf).select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_id"), "ts_us"), 86_400_000_000).select("event_id", "captures"))
+    lambda s, sf: ss.capture_numbers(events(s, sf).select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_id"), "ts_us")).select("event_id", "captures"))
 _GRAY = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(128 + 300 * x))"
 query("win_frame_motion", f"""SELECT vec_id, coalesce(round(CASE WHEN p IS NOT NULL THEN least(list_sum(list_transform(range(1, 65), lambda i: abs(g[i] - p[i]))) / 64 / 40, 1.0) END + 1e-9, 4), -1.0) AS motion
 FROM (SELECT vec_id, {_GRAY} AS g, lag({_GRAY}) OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) AS p FROM embeddings) t""")(
-    lambda s, sf: ss.with_motion(I.table(s, sf, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("session_id"), F.col("vec_id").alias("ts_us"), F.transform("embedding", lambda x: F.floor(128 + 300 * x.cast("double")).cast("int")).alias("gray")), 50)
+    lambda s, sf: ss.with_motion(I.table(s, sf, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("session_id"), F.col("vec_id").alias("ts_us"), F.transform("embedding", lambda x: F.floor(128 + 300 * x.cast("double")).cast("int")).alias("gray")))
     .select("vec_id", F.coalesce(F.round(F.col("motion") + 1e-9, 4), F.lit(-1.0)).alias("motion")))
 
 

@@ -39,15 +39,14 @@ def active_sessions(sessions: DataFrame, now_us: Column, ttl_seconds: int = DEFA
     return sessions.filter(alive).agg(F.count(F.lit(1)).alias("active_sessions"))
 
 
-def capture_numbers(frames: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
+def capture_numbers(frames: DataFrame) -> DataFrame:
     """Capture counter per session, in time order."""
-    return number_in_order(frames, ["session_id"], [F.col("ts_us"), F.col("frame_id")],
-                           F.floor(F.col("ts_us") / bucket_us), "captures")
+    return number_in_order(frames, ["session_id"], [F.col("ts_us"), F.col("frame_id")], name="captures")
 
 
-def with_motion(frames: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
+def with_motion(frames: DataFrame) -> DataFrame:
     """Motion of every frame against the previous one of its session; null on the first."""
-    d = lag_in_order(frames, ["session_id"], "ts_us", ["gray"], F.floor(F.col("ts_us") / bucket_us))
+    d = lag_in_order(frames, ["session_id"], "ts_us", ["gray"])
     return d.withColumn("motion", motion(F.col("prev_gray"), F.col("gray"))).drop("prev_gray")
 
 

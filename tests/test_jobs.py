@@ -192,3 +192,33 @@ def test_ordered_helpers_match_plain_order(spark):
         assert [numbered[x[1]] for x in own] == list(range(1, len(own) + 1))
         prev = {own[i][1]: (own[i - 1][2] if i else None) for i in range(len(own))}
         assert all(prev[r.id] == r.prev_v for r in lagged if r.k == k)
+
+
+def test_ranges_split_a_busy_minute(spark):
+    rnd = random.Random(12)
+    data = [("hot" if rnd.random() < 0.4 else f"k{rnd.randrange(9)}", i, 600 + rnd.randrange(60) if i % 2 else rnd.randrange(500_000), i % 7 and i) for i in range(3_000)]
+    d = spark.createDataFrame(data, "k string, id long, sec long, v long").withColumn("at", F.timestamp_seconds("sec"))
+    sizes = d.groupBy(ordered.ranges(d, [F.col("at"), F.col("id")], 20)).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 2 * 3_000 / 20
+    numbered = {r.id: r.seq for r in ordered.number_in_order(d, ["k"], ["at", "id"]).collect()}
+    lagged = {r.id: r.prev_v for r in ordered.lag_in_order(d, ["k"], "id", ["v"]).collect()}
+    for k in {x[0] for x in data}:
+        own = sorted((x for x in data if x[0] == k), key=lambda x: (x[2], x[1]))
+        assert [numbered[x[1]] for x in own] == list(range(1, len(own) + 1))
+        own = sorted((x for x in data if x[0] == k), key=lambda x: x[1])
+        assert [lagged[x[1]] for x in own] == [None, *[x[3] for x in own[:-1]]]
+
+
+def test_ranges_of_ties_nulls_and_nothing(spark):
+    d = spark.createDataFrame([("a", i, None if i < 5 else "x") for i in range(40)], "k string, id long, o string")
+    got = {r.id: r.seq for r in ordered.number_in_order(d, ["k"], ["o", "id"]).collect()}
+    assert got == {i: i + 1 for i in range(40)}
+    assert ordered.number_in_order(d.filter("false"), ["k"], ["o", "id"]).count() == 0
+
+
+def test_case_numbers_go_on(spark):
+    d = spark.createDataFrame([(i, 1_600_000_000 + (i % 3) * 40_000_000) for i in range(30)], "doc_id long, t long").withColumn("submitted_at", F.timestamp_seconds("t"))
+    taken = spark.createDataFrame([(2020, 7), (2020, 5), (2099, 1)], "year int, taken long")
+    from idsieve.operators import cases as ocases
+    ids = sorted(r.case_id for r in ocases.allocate_ids(d, taken).collect())
+    assert ids[0] == "DS-2020-000008" and len(set(ids)) == 30 and sum(i.startswith("DS-2021") for i in ids) == 10
