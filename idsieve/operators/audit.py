@@ -19,8 +19,6 @@ from idsieve.functions.common import case
 from idsieve.functions.fixed import GENESIS_HASH
 from idsieve.operators.ordered import lag_in_order, number_in_order, top_k_per_key
 
-BUCKET_ROWS = 1_000_000
-
 
 def canonical() -> Column:
     """JSON of the covered values, keys sorted, UTF-8; the timestamp is not covered."""
@@ -71,13 +69,14 @@ def append(events: DataFrame, tips: DataFrame | None = None) -> DataFrame:
             .mapInPandas(chain, schema))
 
 
-def links(events: DataFrame, keys: tuple[str, ...] = ("case_id",), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(events: DataFrame, keys: tuple[str, ...] = ("case_id",), bucket_rows: int | None = None) -> DataFrame:
     """Add expected_prev, link_ok, content_ok per row. With no keys it is one chain over all rows."""
     k = list(keys)
     d = events
     if not k:
         d, k = events.withColumn("_chain", F.lit(0)), ["_chain"]
-    d = lag_in_order(d, k, "id", ["entry_hash"], F.floor(F.col("id") / bucket_rows), "_p_")
+    bucket = F.floor(F.col("id") / bucket_rows) if bucket_rows else None
+    d = lag_in_order(d, k, "id", ["entry_hash"], bucket, "_p_")
     expected = F.coalesce("_p_entry_hash", F.lit(GENESIS_HASH))
     return d.withColumn("expected_prev", expected).withColumns({
         "link_ok": F.col("prev_hash") == F.col("expected_prev"),
@@ -97,12 +96,19 @@ def chain_status(linked: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> Dat
         (F.col("checked") == 0, "EMPTY"), (F.col("broken_event").isNotNull(), "BROKEN"), otherwise="VALID"))
 
 
-def verify(events: DataFrame, keys: tuple[str, ...] = ("case_id",), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def verify(events: DataFrame, keys: tuple[str, ...] = ("case_id",), bucket_rows: int | None = None) -> DataFrame:
     return chain_status(links(events, keys, bucket_rows), keys)
 
 
-def by_case(events: DataFrame, limit: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def broken_at(linked: DataFrame) -> DataFrame:
+    """(case_id, checked, broken_at): place, from 0, of the first event of each case that does not hold; null where all do."""
+    bad = ~(F.col("link_ok") & F.col("content_ok"))
+    placed = number_in_order(linked, ["case_id"], ["id"], name="place")
+    return placed.groupBy("case_id").agg(F.count(F.lit(1)).alias("checked"), F.min(F.when(bad, F.col("place") - 1)).cast("long").alias("broken_at"))
+
+
+def by_case(events: DataFrame, limit: int | None = None) -> DataFrame:
     """Events of each case in order with their ``rank``: all of them, or a first page of ``limit``."""
     if limit is not None:
         return top_k_per_key(events, ["case_id"], [F.asc("id")], limit)
-    return number_in_order(events, ["case_id"], ["id"], F.floor(F.col("id") / bucket_rows), "rank")
+    return number_in_order(events, ["case_id"], ["id"], name="rank")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from idsieve.operators import audit as oa, cases as oc, identity as oi
+from idsieve.operators import audit as oa, cases as oc, hash_tree as ht, identity as oi
 from idsieve.plans import jobs
 from idsieve.queries import inputs as I
 from idsieve.queries.registry import query
@@ -238,6 +238,38 @@ query("audit_by_case", f"SELECT case_id, id, rank FROM (SELECT case_id, id, row_
 query("job_audit", f"{CHAIN} SELECT chain_status, count(*) AS chains FROM (SELECT case_id, CASE WHEN count_if(id % 500 = 7) > 0 THEN 'BROKEN' ELSE 'VALID' END AS chain_status FROM c GROUP BY case_id) z GROUP BY 1")(
     lambda s, sf: jobs.audit_job(tampered(s, sf)).groupBy("chain_status").agg(F.count(F.lit(1)).alias("chains")))
 
+# The tree over all chains, with 16 nodes to a node; a level is there while the one below has more than one.
+FANNED = 16
+_LEVEL = "l{k} AS (SELECT {k} AS level, idx // 16 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM l{b} WHERE (SELECT count(*) FROM l{b}) > 1 GROUP BY idx // 16)"
+TREE = f"""{CHAIN}, tips AS (SELECT case_id, max_by(entry_hash, id) AS tip, count(*) AS n FROM c GROUP BY case_id),
+ l0 AS (SELECT 0 AS level, row_number() OVER (ORDER BY case_id) - 1 AS idx, sha256(case_id || '|' || tip || '|' || n) AS hash FROM tips), {', '.join(_LEVEL.format(k=k, b=k - 1) for k in range(1, 6))},
+ nodes AS ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(6))})"""
+query("audit_tree", f"{TREE} SELECT level, CAST(idx AS BIGINT) AS idx, hash FROM nodes")(
+    lambda s, sf: ht.tree(ht.leaves(chained(s, sf)), FANNED).select("level", "idx", "hash"))
+query("audit_anchor", f"{TREE} SELECT *, sha256(previous || '|' || root || '|' || cases) AS anchor FROM (SELECT count_if(level = 0) AS cases, max_by(hash, level) AS root, repeat('0', 64) AS previous FROM nodes) a")(
+    lambda s, sf: ht.anchor(ht.tree(ht.leaves(chained(s, sf)), FANNED)))
+
+
+@query("audit_proof", f"{TREE} SELECT case_id, (SELECT max_by(hash, level) FROM nodes) AS root FROM tips")
+def q_proof(spark, sf):
+    p = ht.proofs(ht.tree(ht.leaves(chained(spark, sf)), FANNED), FANNED)
+    return p.select("case_id", ht.proved_root(F.col("leaf"), F.col("proof")).alias("root"))
+
+
+@query("audit_anchor_check", f"""SELECT case_id, CASE WHEN gone OR now_n = 0 THEN 'MISSING' WHEN now_n = kept_n THEN 'VALID' WHEN now_n > kept_n THEN 'EXTENDED' ELSE 'TRUNCATED' END AS anchor_status FROM (
+ SELECT case_id, any_value(user_id) % 11 = 3 AS gone, CASE WHEN any_value(user_id) % 7 = 2 THEN greatest(count(*) - 2, 0) ELSE count(*) END AS now_n,
+  CASE WHEN any_value(user_id) % 5 = 1 THEN least(count(*), 3) ELSE count(*) END AS kept_n FROM (SELECT 'case-' || user_id AS case_id, user_id FROM events) x GROUP BY case_id) y""")
+def q_anchor_check(spark, sf):
+    """Anchored while every fifth case had three events; since then cases and ends of cases were lost."""
+    d = oa.by_case(chained(spark, sf)).withColumn("u", F.substring("case_id", 6, 20).cast("long"))
+    size = d.groupBy("case_id").agg(F.count(F.lit(1)).alias("size"))
+    now = d.join(size, "case_id").filter("u % 11 <> 3 AND (u % 7 <> 2 OR rank <= size - 2)")
+    return ht.compared(now, ht.leaves(d.filter("u % 5 <> 1 OR rank <= 3")))
+
+
+query("audit_broken_at", f"{CHAIN} SELECT case_id, count(*) AS checked, coalesce(min(CASE WHEN id % 500 = 7 THEN rn - 1 END), -1) AS broken_at FROM c GROUP BY case_id")(
+    lambda s, sf: oa.broken_at(oa.links(tampered(s, sf))).withColumn("broken_at", F.coalesce("broken_at", F.lit(-1).cast("long"))))
+
 
 def _detail(spark, sf):
     c = I.derive(spark, sf, ACT).select("case_id").distinct()
