@@ -37,25 +37,42 @@ def admit(times: Iterator[int], taken: deque, limit: int, window_us: int) -> lis
     return out
 
 
+def segments(hits: DataFrame, limit: int, us: int) -> DataFrame:
+    """(client, _b, _segment, _warms): the segment of each window-long bucket, and whether its hits also begin the next one.
+
+    Where two buckets in a row hold at most ``limit`` hits, every hit of the second is admitted whatever came
+    before, so the state at its end is known from its own hits alone: there a client can be cut. Silence is the
+    case of no hits at all. Only a stretch in which a client stays at its limit is decided from its beginning.
+    """
+    order = Window.partitionBy("client").orderBy("_b")
+    used = hits.groupBy("client", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    gap = F.col("_b") - F.lag("_b").over(order)
+    before = F.when(gap == 1, F.lag("_n").over(order)).otherwise(0)
+    calm = before + F.col("_n") <= limit
+    d = used.withColumns({"_gap": gap, "_calm": calm})
+    after = F.lag("_calm").over(order)
+    # A new segment starts after more than a window without hits, or right behind a calm bucket.
+    start = F.col("_gap").isNull() | (F.col("_gap") >= 2) | after
+    d = d.withColumn("_start", F.coalesce(start, F.lit(True)))
+    d = d.withColumn("_segment", F.sum(F.col("_start").cast("int")).over(order))
+    follows = F.lead("_start").over(order) & (F.lead("_b").over(order) == F.col("_b") + 1)
+    return d.select("client", "_b", "_segment", F.coalesce(F.col("_calm") & follows, F.lit(False)).alias("_warms"))
+
+
 def rate_limit(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """hits(client, hit_id, ts_us) -> + admitted. Batch form.
 
-    A client's hits are independent across any window-long silence. Counting
-    hits per window-sized bucket finds empty buckets, which cut each client into
-    islands; islands spread over the tasks and each is read in order, batch by
-    batch, with only ``limit`` times held.
+    Clients are cut into ``segments``, which spread over the tasks; a segment is read in order, batch by batch,
+    with only ``limit`` times held. The hits of a calm bucket (at most ``limit``) come a second time before the next
+    segment, to set its state.
     """
     if limit <= 0:
         return hits.withColumn("admitted", F.lit(True))
     us = window_seconds * 1_000_000
     d = hits.withColumn("_b", F.floor(F.col("ts_us") / us))
-    order = Window.partitionBy("client").orderBy("_b")
-    used = d.groupBy("client", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # An empty bucket in between leaves more than one window between two hits.
-    start = F.coalesce((F.col("_b") - F.lag("_b").over(order) >= 2).cast("int"), F.lit(1))
-    islands = used.withColumn("_s", start).withColumn("_island", F.sum("_s").over(order)).select(
-        "client", "_b", "_island")
-    keyed = d.join(islands, ["client", "_b"]).drop("_b")
+    keyed = d.join(segments(d, limit, us), ["client", "_b"]).drop("_b")
+    warm = keyed.filter("_warms").withColumns({"_segment": F.col("_segment") + 1, "_warm": F.lit(True)})
+    keyed = keyed.withColumn("_warm", F.lit(False)).unionByName(warm).drop("_warms")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
     names = [*hits.columns, "admitted"]
 
@@ -63,13 +80,13 @@ def rate_limit(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
         at, taken = None, deque()
         for pdf in batches:
             flags = []
-            for key, t in zip(zip(pdf["client"], pdf["_island"]), pdf["ts_us"]):
+            for key, t in zip(zip(pdf["client"], pdf["_segment"]), pdf["ts_us"]):
                 if key != at:
                     at, taken = key, deque()
                 flags.extend(admit([t], taken, limit, us))
-            yield pdf.assign(admitted=flags)[names]
+            yield pdf.assign(admitted=flags)[~pdf["_warm"]][names]
 
-    return (keyed.repartition("client", "_island").sortWithinPartitions("client", "_island", "ts_us", "hit_id")
+    return (keyed.repartition("client", "_segment").sortWithinPartitions("client", "_segment", "ts_us", "hit_id")
             .mapInPandas(fold, f"{fields}, admitted boolean"))
 
 

@@ -222,3 +222,26 @@ def test_case_numbers_go_on(spark):
     from idsieve.operators import cases as ocases
     ids = sorted(r.case_id for r in ocases.allocate_ids(d, taken).collect())
     assert ids[0] == "DS-2020-000008" and len(set(ids)) == 30 and sum(i.startswith("DS-2021") for i in ids) == 10
+
+
+@pytest.mark.parametrize("limit,window", [(1, 5), (3, 20), (5, 60), (30, 60)])
+def test_rate_limit_segments(spark, limit, window):
+    rnd = random.Random(limit)
+    hits, t = [], {}
+    for i in range(3_000):  # a hot client that is never silent, with bursts; others in between; many equal times
+        client = "hot" if rnd.random() < 0.4 else f"u{rnd.randrange(6)}"
+        step = rnd.choice([0, 1, 2, 9, 15]) if i % 700 > 150 else rnd.choice([0, 0, 1])
+        t[client] = t.get(client, 0) + step * 500_000
+        hits.append((client, i, t[client]))
+    rnd.shuffle(hits)
+    d = spark.createDataFrame(hits, "client string, hit_id long, ts_us long")
+    got = [(r.hit_id, r.admitted) for r in rl.rate_limit(d, limit, window).collect()]
+    assert len(got) == len(hits) and dict(got) == brute_rate(hits, limit, window * 1_000_000)
+
+
+def test_a_client_that_is_never_silent_is_cut(spark):
+    hits = [("hot", i, i * 20_000_000 + (i % 3) * 1_000_000) for i in range(4_000)]
+    d = spark.createDataFrame(hits, "client string, hit_id long, ts_us long").withColumn("_b", F.floor(F.col("ts_us") / 60_000_000))
+    found = rl.segments(d, 10, 60_000_000)
+    assert found.select("_segment").distinct().count() > 1_000
+    assert rl.rate_limit(d.drop("_b"), 10, 60).filter("NOT admitted").count() == 0
