@@ -13,7 +13,8 @@ blocks.
 
 Equal sets are one entry all along. Candidates must have sizes that allow the similarity, and sketches (one bit
 of each minimum) that differ in at most ``bits_apart`` places, which a pair at the limit exceeds with a chance of
-3 in 10^7; what remains is confirmed on the full sets of the texts, one pair per pair of groups first.
+3 in 10^7; what remains is confirmed on the full sets of the texts. One pair per document comes first, its nearest
+leader of a region, so that groups of copies are known before pairs are formed.
 
 Defined results: a null or wordless text has an empty set and is a component of its own, as is any row that links
 with nothing; a text of fewer words than a shingle is one shingle; repeated rows and copies share an entry; a
@@ -51,8 +52,7 @@ class Forest:
     last: int = 6
     region: int = 32
     bits_apart: int = 32
-    quick: int = 4  # orders that are looked at first, one pair per document or group
-    rounds: int = 1
+    quick: int = 4  # orders that are looked at first, one pair per document
     block: int = 200_000  # shingles that are held at once where a crowded region is compared in full
     seed: int = 42
 
@@ -167,7 +167,7 @@ def bits(how: Forest, x: str, y: str) -> Column:
 
 
 def region_pairs(rows: DataFrame, how: Forest) -> DataFrame:
-    """(a, b, group_a, group_b, off): possible pairs inside regions of at most ``region`` entries, of different groups."""
+    """(a, b): possible pairs inside regions of at most ``region`` entries, of different groups."""
     sketches = sketch_columns(how)
 
     def run(batches):
@@ -190,17 +190,16 @@ def region_pairs(rows: DataFrame, how: Forest) -> DataFrame:
             p, q = x[:, i], x[:, i + k]
             off = sum(np.bitwise_count((p[r] ^ q[r]).view(np.uint64)).astype(np.int64) for r in range(4, len(names)))
             ok = (p[2] != q[2]) & (100 * np.minimum(p[3], q[3]) >= how.percent * np.maximum(p[3], q[3])) & (off <= how.bits_apart)
-            p, q, off = p[:, ok], q[:, ok], off[ok]
+            p, q = p[:, ok], q[:, ok]
             swap = p[1] > q[1]
-            for at in range(0, len(off), 100_000):
+            for at in range(0, len(swap), 100_000):
                 s, to = swap[at:at + 100_000], slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
-                    np.where(s, q[1, to], p[1, to]), np.where(s, p[1, to], q[1, to]),
-                    np.where(s, q[2, to], p[2, to]), np.where(s, p[2, to], q[2, to]), off[to])], ["a", "b", "group_a", "group_b", "off"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(s, q[1, to], p[1, to])), pa.array(np.where(s, p[1, to], q[1, to]))], ["a", "b"])
 
     names = ["region", "node", "group", "n", *sketches]
     dealt = rows.select(*names).repartition("region").sortWithinPartitions("region", "node")
-    return dealt.mapInArrow(run, "a long, b long, group_a long, group_b long, off long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def texts_of(nodes: DataFrame, entries: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -323,19 +322,6 @@ def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFra
     near = written(near.select("of.a", "b"), "nearest")
     edges = confirmed(near, entries, docs, how, key)
     found = written(components(edges), "groups")
-    # Large groups of near copies grow together when each of their parts takes its nearest other part, met in blocks
-    # into which regions are dealt anew every time.
-    for turn in range(how.rounds):
-        rows = open_regions(grouped(prefixes(entries.drop("key", "own", "digest"), how, range(how.quick)), found))
-        block = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / how.region))
-        pairs = written(region_pairs(rows.withColumn("region", F.xxhash64("region", block)), how), "pairs")
-        sides = reduce(DataFrame.unionByName, [pairs.select(F.col(f"group_{x}").alias("group"), F.struct("off", "a", "b").alias("of")) for x in "ab"])
-        best = written(sides.groupBy("group").agg(F.min("of").alias("of")).select("of.a", "of.b").distinct(), "nearest")
-        removed(pairs)
-        if not best.take(1):
-            break
-        edges = edges.unionByName(confirmed(best, entries, docs, how, key))
-        found = written(components(edges), "groups")
 
     # Then all orders, down to small regions; entries of one group are no longer candidates of each other.
     rows = grouped(prefixes(entries.drop("key", "own", "digest"), how, range(how.orders)), found)
@@ -348,34 +334,14 @@ def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFra
         above, rows = open_rows, open_rows.filter(F.col("size") > how.region).drop("size")
         if depth < how.last:
             rows = rows.withColumn("region", F.xxhash64("region", f"v{depth - how.first}")).drop(f"v{depth - how.first}")
-    edges, found = connected(reduce(DataFrame.unionByName, pairs), edges, found, entries, docs, how, key)
+    tried = reduce(DataFrame.unionByName, pairs).select("a", "b").distinct()
+    near_by = confirmed(written(tried, "tried"), entries, docs, how, key)
     removed(*pairs)
 
-    # What is still crowded is compared in full.
-    edges = edges.unionByName(crowded_links(grouped(rows, found), entries, docs, how, key))
+    # What is still crowded is compared in full. Groups stand for the links inside of them.
+    rest = crowded_links(grouped(rows, found), entries, docs, how, key)
     removed(above)
-    return edges
-
-
-def connected(pairs: DataFrame, edges: DataFrame, found: DataFrame, entries: DataFrame, docs: DataFrame, how: Forest, key: str):
-    """(edges, components) once candidates are confirmed: the nearest of each two groups first, then all that are still apart."""
-    pairs = written(pairs.groupBy("a", "b").agg(*[F.any_value(c).alias(c) for c in ("group_a", "group_b", "off")]), "candidates")
-    for last in (False, True):
-        least, most = F.least("group_a", "group_b"), F.greatest("group_a", "group_b")
-        tried = pairs if last else pairs.groupBy(least.alias("g"), most.alias("h")).agg(F.min_by(F.struct("a", "b"), F.struct("off", "a", "b")).alias("p")).select("p.*")
-        tried = written(tried.select("a", "b"), "tried")
-        if tried.take(1):
-            edges = edges.unionByName(confirmed(tried, entries, docs, how, key))
-            found = written(components(edges), "groups")
-        removed(tried)
-        if not last:
-            own = lambda d, c: d.drop(f"group_{c}").join(found.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left").withColumn(
-                f"group_{c}", F.coalesce(f"group_{c}", c))
-            left = written(own(own(pairs, "a"), "b").filter("group_a <> group_b"), "candidates")
-            removed(pairs)
-            pairs = left
-    removed(pairs)
-    return edges, found
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near_by).unionByName(rest)
 
 
 def groups(docs: DataFrame, how: Forest = Forest(), key: str = "doc_id") -> DataFrame:
