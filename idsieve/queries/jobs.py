@@ -8,7 +8,7 @@ from idsieve.plans.folders import work_folder
 from idsieve.queries import images as qi, inputs as I, intake as qn, text as qt, vectors as qv
 from idsieve.queries.registry import query
 from idsieve.sources import files as sfiles
-from idsieve.streaming.screen import screen_stream
+from idsieve.streaming.screen import CASES, EVENTS, read_sink, screen_stream, screen_to_sinks
 
 
 @query("src_files")
@@ -85,3 +85,29 @@ def q_stream(spark, sf):
     folder = work_folder(spark, "st_screen")
     screen_stream(source, _screen_documents, f"{folder}/cases", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/cases").select("doc_id", "doc_status", "decision")
+
+
+def _cases_of(batch):
+    """Documents as case rows: decided by the whole chain of checks, typed by their language."""
+    return _screen_documents(batch.drop("submitted_at")).join(batch.select("doc_id", F.upper(F.coalesce("lang", F.lit("unknown"))).alias("document_type")), "doc_id")
+
+
+_CASE_SQL = """SELECT doc_id, printf('DS-2024-%06d', row_number() OVER (ORDER BY doc_id)) AS case_id, upper(coalesce(lang, 'unknown')) AS document_type FROM documents"""
+
+
+@query("st_screen_sinks", f"""SELECT doc_id, case_id, document_type, decision, sha256(repeat('0', 64) || '|' || '{{"action":"ANALYZE","actor":"system","case_id":"' || case_id || '","summary":"decision=' || decision || ' type=' || document_type || '"}}') AS entry_hash
+FROM (SELECT *, 'INCONCLUSIVE' AS decision FROM ({_CASE_SQL}) c) d""")
+def q_sinks(spark, sf):
+    """All documents as a stream in three batches, into cases, audit rows and tips, read back by the list of finished batches."""
+    docs = I.table(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    docs = docs.withColumn("submitted_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 10_000_000))
+    folder = work_folder(spark, "st_screen_sinks")
+    for k in range(3):
+        part = docs.filter(F.least(F.floor(F.col("doc_id") * 3 / (last + 1)), F.lit(2)) == k)
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
+        screen_to_sinks(source, _cases_of, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    cases = read_sink(spark, f"{folder}/out", "cases", CASES).drop("batch")
+    events = read_sink(spark, f"{folder}/out", "audit", EVENTS).select("case_id", "entry_hash")
+    return cases.join(events, "case_id").select("doc_id", "case_id", "document_type", "decision", "entry_hash")

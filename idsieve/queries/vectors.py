@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from idsieve.functions import vectors as v
 from idsieve.functions.common import r
 from idsieve.functions.fixed import CLASSIFIER_FEATURES, CORE_TYPES, FILENAME_PATTERNS, FUSION_DIM, FUSION_LAYOUT
-from idsieve.operators import classify as oc, models as om
+from idsieve.operators import classify as oc, model_store as ms, models as om
+from idsieve.plans.folders import work_folder
 from idsieve.queries import inputs as I
 from idsieve.queries.registry import query
 
@@ -125,7 +126,10 @@ HEAD = f"""SELECT vec_id, label, e, CASE WHEN label = 9 THEN NULL ELSE p END AS
  FROM (SELECT *, list_transform(e, lambda x: x / ({_N} + 1e-12)) AS u FROM {E}) u0) u1) u2"""
 
 
-@query("head_score", f"SELECT vec_id, CASE WHEN p IS NULL THEN 'NOT_ASSESSED' ELSE 'SCORED' END AS status, coalesce(round(p[1] + 1e-9, 4), -1.0) AS authentic, CASE WHEN p IS NULL THEN '' WHEN p[1] >= p[2] THEN 'authentic' ELSE 'tampered' END AS label FROM ({HEAD}) h")
+HEAD_SQL = f"SELECT vec_id, CASE WHEN p IS NULL THEN 'NOT_ASSESSED' ELSE 'SCORED' END AS status, coalesce(round(p[1] + 1e-9, 4), -1.0) AS authentic, CASE WHEN p IS NULL THEN '' WHEN p[1] >= p[2] THEN 'authentic' ELSE 'tampered' END AS label FROM ({HEAD}) h"
+
+
+@query("head_score", HEAD_SQL)
 def q_head(spark, sf):
     # Label 9 vectors arrive one value short and must not be scored.
     d = emb(spark, sf).withColumn("x", F.when(F.col("label") == 9, F.slice("e", 1, 63)).otherwise(F.col("e")))
@@ -133,6 +137,16 @@ def q_head(spark, sf):
         "vec_id", "h.status", F.coalesce("h.authentic", F.lit(-1.0)).alias("authentic"), F.coalesce("h.label", F.lit("")).alias("label"))
 
 
+@query("head_score_batch", HEAD_SQL)
+def q_head_batch(spark, sf):
+    """The same head as a stored model: one matrix product per batch of vectors."""
+    d = emb(spark, sf).withColumn("x", F.when(F.col("label") == 9, F.slice("e", 1, 63)).otherwise(F.col("e")))
+    d = d.withColumn("p", ms.probabilities(F.col("x"), ms.Model("head", 1, W, B), unit=True))
+    return d.select(
+        "vec_id", F.when(F.col("p").isNull(), "NOT_ASSESSED").otherwise("SCORED").alias("status"), F.coalesce(F.round(F.col("p")[0] + 1e-9, 4), F.lit(-1.0)).alias("authentic"),
+        F.when(F.col("p").isNull(), "").when(F.col("p")[0] >= F.col("p")[1], "authentic").otherwise("tampered").alias("label"))
+
+
 @query("logreg_predict", f"SELECT vec_id, round(p[1], 5) AS p1, round(p[2], 5) AS p2 FROM (SELECT vec_id, {softmax_sql('z')} AS p FROM (SELECT vec_id, {lin('e', W, B, 64)} AS z FROM {E}) u) w")
 def q_predict(spark, sf):
     p = emb(spark, sf).withColumn("p", om.class_probabilities(F.col("e"), W, B))
@@ -241,16 +255,29 @@ def q_synth(spark, sf):
     return rows.select("vec_id", "copy", "label", F.size("features").alias("dim"))
 
 
+def _never():
+    raise AssertionError("a stored model is fitted again")
+
+
 @query("sink_models")
 def q_models(spark, sf):
-    return om.weights_table(spark, _trained(spark, sf)[1], "head")
+    """Fitted once and written, then read back by a second call that must not fit."""
+    path = work_folder(spark, "models")
+    first = ms.load_or_fit(spark, path, "head", lambda: _trained(spark, sf)[1])
+    if ms.load_or_fit(spark, path, "head", _never) != first:
+        raise AssertionError("a stored model came back otherwise")
+    return ms.stored_weights(spark, path)
 
 
 @query("job_train_models")
 def job_train(spark, sf):
-    from idsieve.plans.jobs import train_job
-    rows = emb(spark, sf).select(F.col("e").alias("features"), "label")
-    return train_job(rows, spark, "document_type", max_iter=30).groupBy("model", "class").agg(F.count(F.lit(1)).alias("n_weights"))
+    """Both models of the screening: written with their versions; a refit adds a version."""
+    path, rows = work_folder(spark, "models"), emb(spark, sf).select(F.col("e").alias("features"), "label")
+    ms.load_or_fit(spark, path, "document_type", lambda: om.train(rows, max_iter=30))
+    fit = lambda reg: om.train(rows.withColumn("label", (F.col("label") < 5).cast("int")), normalize=True, max_iter=20, reg=reg)
+    ms.load_or_fit(spark, path, "head", lambda: fit(0.0))
+    ms.refit(spark, path, "head", lambda: fit(0.1))
+    return ms.stored_weights(spark, path).groupBy("model", "version", "class").agg(F.count(F.lit(1)).alias("n_weights"))
 
 
 # --- document type -------------------------------------------------------------------------
