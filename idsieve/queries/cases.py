@@ -10,9 +10,11 @@ from idsieve.streaming import rate_limit as rl, sessions as ss
 
 # --- faces: embeddings as faces of sessions, two sides each -------------------------------
 
-_FACE = """SELECT CAST(floor(vec_id / 5) AS BIGINT) AS session_id, CASE WHEN vec_id % 5 IN (0, 3) THEN 'document' ELSE 'live' END AS role, vec_id AS face_ord, CAST(20 + vec_id * 7 % 90 AS INT) AS w, CAST(20 + vec_id * 11 % 90 AS INT) AS h,
+# Every vector is a face. Some stand in sessions of their own, so that sides are absent, single or many.
+_FACE = """SELECT CASE WHEN (vec_id % 5 >= 2 AND floor(vec_id / 5) % 3 > 0) OR (vec_id % 5 = 1 AND floor(vec_id / 5) % 8 = 1) THEN 1000000000000 ELSE 0 END + CAST(floor(vec_id / 5) AS BIGINT) AS session_id,
+ CASE WHEN vec_id % 5 IN (0, 3) THEN 'document' ELSE 'live' END AS role, vec_id AS face_ord, CAST(20 + vec_id * 7 % 90 AS INT) AS w, CAST(20 + vec_id * 11 % 90 AS INT) AS h,
  {vec} AS embedding, CASE WHEN vec_id % 35 IN (0, 1) THEN 'same' ELSE CAST(vec_id AS STRING) END AS image_sha, CAST(vec_id * 13 % 601 AS DOUBLE) AS laplacian_variance, CAST(vec_id * 17 % 256 AS DOUBLE) AS mean_gray, CAST(vec_id * 19 % 97 AS DOUBLE) AS std_gray, 640 AS img_w, 480 AS img_h
- FROM {src} WHERE NOT (vec_id % 5 >= 2 AND floor(vec_id / 5) % 3 > 0) AND NOT (vec_id % 5 = 1 AND floor(vec_id / 5) % 8 = 1)"""
+ FROM {src}"""
 # Every fourth session shows nearly the same vector on both sides.
 FACES_SPARK = _FACE.format(vec="CASE WHEN floor(vec_id / 5) % 4 = 0 THEN transform(CAST(embedding AS array<double>), (x, i) -> 0.1 + (i % 5) + x / 9) ELSE CAST(embedding AS array<double>) END", src="{embeddings}")
 FACES_DUCK = _FACE.format(vec="CASE WHEN vec_id // 5 % 4 = 0 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: 0.1 + ((i - 1) % 5) + x / 9) ELSE CAST(embedding AS DOUBLE[]) END", src="embeddings")
@@ -27,11 +29,11 @@ def faces(spark, sf):
 query("face_quality", f"SELECT face_ord, round(q + 1e-9, 4) AS quality, face_label FROM ({QUAL}) q")(
     lambda s, sf: faces(s, sf).select("face_ord", F.round(F.col("face_quality") + 1e-9, 4).alias("quality"), "face_label"))
 
-COUNT = f"SELECT r.session_id, r.role, coalesce(n, 0) AS face_count, CASE coalesce(n, 0) WHEN 0 THEN 'NOT_DETECTED' WHEN 1 THEN 'DETECTED' ELSE 'MULTIPLE_DETECTED' END AS face_status FROM (SELECT DISTINCT vec_id // 5 AS session_id, x.role FROM embeddings, (VALUES ('document'), ('live')) x(role)) r LEFT JOIN (SELECT session_id, role, count(*) AS n FROM ({FACES_DUCK}) f GROUP BY ALL) c ON c.session_id = r.session_id AND c.role = r.role"
+COUNT = f"SELECT r.session_id, r.role, coalesce(n, 0) AS face_count, CASE coalesce(n, 0) WHEN 0 THEN 'NOT_DETECTED' WHEN 1 THEN 'DETECTED' ELSE 'MULTIPLE_DETECTED' END AS face_status FROM (SELECT DISTINCT session_id, x.role FROM ({FACES_DUCK}) f0, (VALUES ('document'), ('live')) x(role)) r LEFT JOIN (SELECT session_id, role, count(*) AS n FROM ({FACES_DUCK}) f GROUP BY ALL) c ON c.session_id = r.session_id AND c.role = r.role"
 
 
 def images(spark, sf):
-    s = I.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("session_id")).distinct()
+    s = I.derive(spark, sf, FACES_SPARK).select("session_id").distinct()
     return s.withColumn("role", F.explode(F.array(F.lit("document"), F.lit("live"))))
 
 
