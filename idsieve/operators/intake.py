@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idsieve.functions.common import blank_to_null, case, let
 from idsieve.functions.fixed import DANGEROUS_PREFIXES, EXTENSION_MIME
@@ -15,11 +17,19 @@ from idsieve.settings import DEFAULT, Settings
 INTERNAL_COLUMNS = ("compare_values", "_embedding", "raw_value", "full_text", "content")
 
 
-def safe_filename(name: Column) -> Column:
-    """Base name with unusual characters folded to _, at most 200 long, never empty."""
+NAME_SHOWN = 200
+
+
+def clean_filename(name: Column) -> Column:
+    """Base name with unusual characters folded to _, never empty, whole."""
     base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)/*$", 1)
     clean = F.regexp_replace(F.regexp_replace(base, r"^\.?$", "upload.bin"), r"(?U)[^\w.\- ()\[\]]+", "_")
-    return F.coalesce(blank_to_null(F.left(clean, F.lit(200))), F.lit("upload.bin"))
+    return F.coalesce(blank_to_null(clean), F.lit("upload.bin"))
+
+
+def safe_filename(name: Column, shown: int = NAME_SHOWN) -> Column:
+    """The clean name as it is shown: its first ``shown`` characters. What tells files apart is ``clean_filename``."""
+    return F.left(clean_filename(name), F.lit(shown))
 
 
 def extension(safe_name: Column) -> Column:
@@ -74,6 +84,50 @@ def webp_size(content: Column) -> tuple[Column, Column]:
                  (kind == "56503858", number(28, 3) + 1)))
 
 
+#: Markers of JPEG frame headers (start of frame; not tables, arithmetic coding or extensions), and those without a length.
+FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+BARE = frozenset(range(0xD0, 0xD8)) | {0x01}
+
+
+def jpeg_frame(data: memoryview) -> tuple[int, int] | None:
+    """(width, height) of a JPEG by walking its segments to the frame header; None if the walk does not get there.
+
+    Only the heads of segments are looked at; image data is never reached.
+    """
+    at, n = 2, len(data)
+    while at + 4 <= n and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF:
+            at += 1
+        elif kind in BARE:
+            at += 2
+        elif kind in FRAMES:
+            if at + 9 > n:
+                return None
+            return int.from_bytes(data[at + 7:at + 9], "big"), int.from_bytes(data[at + 5:at + 7], "big")
+        elif kind in (0xD9, 0xDA):
+            return None
+        else:
+            size = int.from_bytes(data[at + 2:at + 4], "big")
+            if size < 2:
+                return None
+            at += 2 + size
+    return None
+
+
+SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+def jpeg_size(content: Column) -> Column:
+    """struct(width, height) of JPEG bytes, null where there is no frame header; null bytes are passed over."""
+
+    def run(bytes_of: pa.Array) -> pa.Array:
+        found = [jpeg_frame(memoryview(x.as_buffer()).cast("B")) if x.is_valid else None for x in bytes_of]
+        return pa.array([None if f is None else {"width": f[0], "height": f[1]} for f in found], pa.struct([("width", pa.int64()), ("height", pa.int64())]))
+
+    return F.arrow_udf(run, SIZE)(content)
+
+
 def header_code(settings: Settings = DEFAULT) -> Column:
     """Rejection code from name and bytes alone, null when none applies. First match wins."""
     c = F.col("content")
@@ -103,7 +157,8 @@ def header_code(settings: Settings = DEFAULT) -> Column:
 def with_header(files: DataFrame) -> DataFrame:
     """files(filename, content, ...) with safe name, extension and sniffed kind."""
     return (
-        files.withColumn("safe_name", safe_filename(F.col("filename")))
+        files.withColumn("full_name", clean_filename(F.col("filename")))
+        .withColumn("safe_name", F.left("full_name", F.lit(NAME_SHOWN)))
         .withColumn("ext", extension(F.col("safe_name")))
         .withColumn("sniffed", sniff(F.col("content")))
     )
@@ -113,16 +168,18 @@ def validate(files: DataFrame, settings: Settings = DEFAULT,
              decoded: DataFrame | None = None, key: str = "path") -> DataFrame:
     """Add ``code`` (null when accepted), ``width`` and ``height``.
 
-    PNG and WEBP sizes stand in the header. With ``decoded(key, width, height)``, the
-    image source, sizes of PNG and JPEG come from there, and what has no row there did
-    not decode; it reads no WEBP. Without it JPEG files stay unmeasured.
+    PNG and WEBP sizes stand in the header, JPEG sizes in the frame header, which is found by walking the segments
+    before it. With ``decoded(key, width, height)``, the image source, sizes of PNG and JPEG come from there,
+    and what has no row there did not decode; it reads no WEBP.
     """
     f = with_header(files)
-    png, webp = F.col("sniffed") == "PNG", F.col("sniffed") == "WEBP"
+    png, webp, jpeg = (F.col("sniffed") == k for k in ("PNG", "WEBP", "JPEG"))
     (pw, ph), (ww, wh) = png_size(F.col("content")), webp_size(F.col("content"))
     if decoded is None:
-        f = f.withColumns({"width": F.when(png, pw).when(webp, ww), "height": F.when(png, ph).when(webp, wh)})
-        unreadable = (png | webp) & (F.col("width").isNull() | F.col("height").isNull())
+        f = f.withColumn("_jpeg", jpeg_size(F.when(jpeg, F.col("content"))))
+        f = f.withColumns({"width": F.when(png, pw).when(webp, ww).when(jpeg, F.col("_jpeg.width")),
+                           "height": F.when(png, ph).when(webp, wh).when(jpeg, F.col("_jpeg.height"))}).drop("_jpeg")
+        unreadable = (png | webp | jpeg) & (F.col("width").isNull() | F.col("height").isNull())
     else:
         f = f.join(decoded.select(key, F.col("width").alias("_w"), F.col("height").alias("_h")), key, "left")
         f = f.withColumns({"width": F.when(webp, ww).otherwise(F.col("_w")), "height": F.when(webp, wh).otherwise(F.col("_h"))}).drop("_w", "_h")
@@ -148,10 +205,10 @@ def accepted_metadata(validated: DataFrame, settings: Settings = DEFAULT) -> Dat
     )
 
 
-def public_projection(df: DataFrame) -> DataFrame:
-    """Drop internal columns; of the full text only a 500-character preview is shown."""
+def public_projection(df: DataFrame, preview: int | None = 500) -> DataFrame:
+    """Drop internal columns; of the full text a preview of so many characters is shown, all of it for None."""
     if "full_text" in df.columns:
-        df = df.withColumn("text_preview", F.left("full_text", F.lit(500)))
+        df = df.withColumn("text_preview", F.col("full_text") if preview is None else F.left("full_text", F.lit(preview)))
     return df.drop(*INTERNAL_COLUMNS)
 
 

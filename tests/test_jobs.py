@@ -245,3 +245,35 @@ def test_a_client_that_is_never_silent_is_cut(spark):
     found = rl.segments(d, 10, 60_000_000)
     assert found.select("_segment").distinct().count() > 1_000
     assert rl.rate_limit(d.drop("_b"), 10, 60).filter("NOT admitted").count() == 0
+
+
+def jpeg(width, height, before=b"", frame=0xC0):
+    def segment(kind, body):
+        return bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+
+    return (b"\xff\xd8" + segment(0xE0, b"JFIF\0" + b"\x01" * 9) + before + segment(0xDB, b"q" * 65) + segment(frame, struct.pack(">BHHB", 8, height, width, 3) + b"\x01\x22\x00" * 3)
+            + segment(0xDA, b"x" * 10) + b"data" * 20 + b"\xff\xd9")
+
+
+@pytest.mark.parametrize("before", [b"", b"\xff\xe1\xff\xff" + b"\xff\xc0\x00\x11" * 16383 + b"z", b"\xff\xff\xff\xfe\x00\x04ab", b"\xff\x01", (b"\xff\xe2\xff\xff" + b"i" * 65533) * 40])
+@pytest.mark.parametrize("frame", [0xC0, 0xC2, 0xCF])
+def test_jpeg_sizes(before, frame):
+    assert oi.jpeg_frame(memoryview(jpeg(640, 480, before, frame))) == (640, 480)
+
+
+@pytest.mark.parametrize("content", [b"", b"\xff\xd8", b"\xff\xd8\xff\xd9", jpeg(5, 5)[:90], b"\xff\xd8\xff\xe0\x00\x00" + b"a" * 50, b"\xff\xd8" + b"prose" * 9, jpeg(5, 5, frame=0xC4)])
+def test_jpeg_without_a_frame(content):
+    assert oi.jpeg_frame(memoryview(content)) is None
+
+
+def test_jpeg_codes(spark):
+    d = spark.createDataFrame([(str(i), "a.jpg", bytearray(c)) for i, c in enumerate([jpeg(300, 200), jpeg(300, 200)[:60], jpeg(60_000, 60_000), jpeg(0, 10)])], "path string, filename string, content binary")
+    got = {r.path: (r.code, r.width) for r in oi.validate(d).collect()}
+    assert got == {"0": (None, 300), "1": ("CORRUPT_IMAGE", None), "2": ("TOO_MANY_PIXELS", 60_000), "3": ("BAD_DIMENSIONS", 0)}
+
+
+def test_long_names_stay_apart(spark):
+    d = spark.createDataFrame([("p", "x" * 250 + "a.png", bytearray(png(4, 4))), ("q", "x" * 250 + "b.png", bytearray(png(4, 4)))], "path string, filename string, content binary")
+    r = oi.with_header(d).collect()
+    assert r[0].safe_name == r[1].safe_name == "x" * 200 and {x.full_name for x in r} == {"x" * 250 + "a.png", "x" * 250 + "b.png"}
+    assert oi.public_projection(spark.createDataFrame([("y" * 900,)], "full_text string"), None).first().text_preview == "y" * 900
