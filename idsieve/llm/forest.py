@@ -251,7 +251,7 @@ def crowded_links(rows: DataFrame, entries: DataFrame, docs: DataFrame, how: For
 
     A region's entries are dealt into blocks of about ``block`` shingles. Whoever is not of the region's largest
     group visits every block, one after the other, and is counted against all its full sets at once; only links
-    come out. So a family of texts just below the limit costs comparisons, but no rows.
+    that connect something come out. So a family of texts just below the limit costs comparisons, but no rows.
     """
     sizes = rows.groupBy("region", "group").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("region").agg(
         F.max_by("group", F.struct("c", "group")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("n"))
@@ -284,11 +284,18 @@ def crowded_links(rows: DataFrame, entries: DataFrame, docs: DataFrame, how: For
 
 
 class Block:
-    """Sets that visiting sets are counted against."""
+    """Sets that visiting sets are counted against. A link is given out only where it connects groups that no
+    earlier one of the block has connected: the components stay the same, and copies of copies give no pairs.
+    """
 
     def __init__(self, how: Forest):
         self.how, self.sets, self.nodes, self.groups = how, [], [], []
-        self.values = None
+        self.values, self.root = None, {}
+
+    def top(self, group: int) -> int:
+        while (up := self.root.get(group, group)) != group:
+            self.root[group] = group = self.root.get(up, up)
+        return group
 
     def add(self, s: np.ndarray, node: int, group: int) -> None:
         self.sets.append(s)
@@ -308,7 +315,14 @@ class Block:
         same = np.add.reduceat(has[self.ids], self.starts)
         near = 100 * same >= self.how.percent * (self.sizes + len(s) - same)
         near &= (self.groups != group) & ((self.groups == most) | (self.nodes > node))
-        return self.nodes[near].tolist()
+        met, at = np.unique(self.groups[near], return_index=True)
+        out = []
+        for other, y in zip(met.tolist(), self.nodes[near][at].tolist(), strict=True):
+            a, b = self.top(group), self.top(other)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                out.append(y)
+        return out
 
 
 def links(entries: DataFrame, docs: DataFrame, how: Forest, key: str) -> DataFrame:

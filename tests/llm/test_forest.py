@@ -99,3 +99,25 @@ def test_signatures_estimate_similarity(shared):
 def test_orders_share_no_first_positions():
     at = forest.Forest().positions()
     assert at.shape == (32, 6) and len(set(at[:, :4].ravel().tolist())) == 128 and all(len(set(r)) == 6 for r in at.tolist())
+
+
+def test_blocks_give_only_links_that_connect():
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(60) for _ in range(100)]
+    sets = [np.unique(np.array([x for x in base if rnd.random() < 0.97] + [rnd.getrandbits(60)], dtype=np.uint64)) for _ in range(60)]
+    block = forest.Block(forest.Forest())
+    for i, s in enumerate(sets):
+        block.add(s, i, i // 2)
+    links = [(i, y) for i, s in enumerate(sets) for y in block.similar(s, i, i // 2, 0)]
+    assert len(links) <= 29
+    near = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))
+    assert all(near(i, j) for i, j in links)
+
+    def parts(pairs):
+        own = [i // 2 for i in range(60)]
+        for _ in range(60):
+            for i, j in pairs:
+                own = [min(own[i], own[j]) if g in (own[i], own[j]) else g for g in own]
+        return own
+
+    assert parts(links) == parts([(i, j) for i in range(60) for j in range(i) if near(i, j)])
