@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idsieve.functions.fixed import BANNER, DISCLAIMER
+from idsieve.operators.audit import by_case
 from idsieve.operators.ordered import last_per_key, number_in_order, top_k_per_key
 
 CASE_PREFIX = "DS"
@@ -73,12 +74,26 @@ def evidence_value(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def case_detail(cases: DataFrame, audit: DataFrame, limit: int | None = None) -> DataFrame:
-    """Case with its audit rows in order: all of them, or a first page of ``limit``."""
-    first = audit if limit is None else top_k_per_key(audit, ["case_id"], [F.asc("id")], limit)
-    rows = first.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("id", "action", "actor", "summary", "entry_hash"))).alias("audit"))
-    return cases.join(rows, "case_id", "left")
+def case_detail(cases: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cases with their audit events as rows in order: all, or a first page of ``limit`` per case.
+
+    Each row has its ``rank`` and the case's ``n_events``; a case without events is one row without a rank. A busy
+    case is many rows, never one value.
+    """
+    n = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
+    rows = by_case(events, limit).select("case_id", "rank", "id", "action", "actor", "summary", "entry_hash")
+    return cases.join(n, "case_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long"))).join(rows, "case_id", "left")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of all cases that were appended."""
+    return spark.read.parquet(path).drop("month")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, json, markdown) of written reports."""
+    part = lambda kind: spark.read.parquet(f"{path}/{kind}").select("case_id", F.col("value").alias(kind))
+    return part("json").join(part("markdown"), "case_id")
 
 
 # Name shown in the report and path in the evidence.
@@ -138,9 +153,9 @@ def markdown(report: Column) -> Column:
         F.concat(F.lit("*"), report["demo_banner"], F.lit("*")), F.lit(""))
 
 
-def write_reports(built: DataFrame, path: str) -> None:
+def write_reports(built: DataFrame, path: str, shards: int = 256) -> None:
     """JSON lines and Markdown, in directories spread by a hash of the case."""
-    d = built.withColumn("shard", F.pmod(F.xxhash64("case_id"), F.lit(256)))
+    d = built.withColumn("shard", F.pmod(F.xxhash64("case_id"), F.lit(shards)))
     d.select("shard", "case_id", F.to_json("report").alias("value")).write.mode("append").partitionBy(
         "shard").parquet(f"{path}/json")
     d.select("shard", "case_id", markdown(F.col("report")).alias("value")).write.mode("append").partitionBy(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from idsieve.operators import audit as oa, cases as oc, hash_tree as ht, identity as oi
 from idsieve.plans import jobs
+from idsieve.plans.folders import work_folder
 from idsieve.queries import inputs as I
 from idsieve.queries.registry import query
 from idsieve.streaming import rate_limit as rl, sessions as ss
@@ -158,8 +159,25 @@ def ided(spark, sf):
 
 
 query("case_id_alloc", f"SELECT doc_id, case_id FROM ({CID}) c")(lambda s, sf: ided(s, sf).select("doc_id", "case_id"))
+
+
+def created(spark, sf):
+    """Pending cases, appended to the case log and read back."""
+    path = work_folder(spark, "cases")
+    oc.append_cases(oc.pending_cases(ided(spark, sf)), path)
+    return oc.read_cases(spark, path)
+
+
+def updated(spark, sf):
+    """Both versions of the cases, appended one after the other, and the newest of each read back."""
+    path, versions = work_folder(spark, "cases"), log(spark, sf)
+    for part in ("decision = 'PENDING'", "decision <> 'PENDING'"):
+        oc.append_cases(versions.filter(part), path)
+    return oc.current_cases(oc.read_cases(spark, path))
+
+
 query("sink_case_create", f"SELECT case_id, 'PENDING' AS decision, 'OPEN' AS reviewer_status, '{{}}' AS evidence_json FROM ({CID}) c")(
-    lambda s, sf: oc.pending_cases(ided(s, sf)).select("case_id", "decision", "reviewer_status", "evidence_json"))
+    lambda s, sf: created(s, sf).select("case_id", "decision", "reviewer_status", "evidence_json"))
 
 
 def log(spark, sf):
@@ -186,7 +204,7 @@ def _sh(x, cond):
 CUR = f"""SELECT case_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UNKNOWN' ELSE 'VISA' END AS document_type, CASE WHEN doc_id % 3 = 0 THEN 'PENDING' WHEN doc_id % 2 = 0 THEN 'PASS' ELSE 'HIGH-RISK' END AS decision,
  {_sh('doc_id % 83 / 83.0', 'doc_id % 3 <> 0 AND doc_id % 4 <> 0')} AS authenticity_estimate, {_sh('doc_id % 97 / 97.0', 'doc_id % 3 <> 0')} AS confidence, {_sh('doc_id % 89 / 89.0', 'doc_id % 3 <> 0')} AS evidence_quality, 'OPEN' AS reviewer_status FROM ({CID}) c"""
 query("sink_case_update", f"SELECT case_id, decision, confidence FROM ({CUR}) c")(
-    lambda s, sf: oc.case_summary(current(s, sf)).select("case_id", "decision", "confidence"))
+    lambda s, sf: oc.case_summary(updated(s, sf)).select("case_id", "decision", "confidence"))
 query("case_summary", f"SELECT case_id, document_type, decision, authenticity_estimate, confidence, evidence_quality, reviewer_status FROM ({CUR}) c")(lambda s, sf: oc.case_summary(current(s, sf)))
 query("top_cases", f"SELECT case_id, decision FROM ({CUR}) c ORDER BY CAST(split_part(case_id, '-', 2) AS BIGINT) DESC, CAST(split_part(case_id, '-', 3) AS BIGINT) DESC LIMIT 50")(lambda s, sf: oc.newest(current(s, sf)).select("case_id", "decision"))
 query("job_cases", f"SELECT decision, count(*) AS n FROM ({CUR}) c GROUP BY 1")(lambda s, sf: oc.case_summary(current(s, sf)).groupBy("decision").agg(F.count(F.lit(1)).alias("n")))
@@ -207,7 +225,18 @@ query("report_build", f"SELECT case_id, decision, coalesce(try_cast(confidence A
 query("report_markdown", f"SELECT case_id, '# Screening Report — ' || case_id AS first_line, '**Decision:** ' || decision AS decision_line, CASE WHEN {_HASJ} THEN '- first' ELSE '' END AS reason_line FROM ({CUR}) c")(
     lambda s, sf: reported(s, sf).withColumn("m", F.split(oc.markdown(F.col("report")), "\n")).select(
         "case_id", F.col("m")[0].alias("first_line"), F.col("m")[3].alias("decision_line"), F.when(F.array_contains("m", "- first"), F.lit("- first")).otherwise(F.lit("")).alias("reason_line")))
-query("sink_report")(lambda s, sf: reported(s, sf).select("case_id", F.to_json("report").alias("json"), oc.markdown(F.col("report")).alias("markdown")))
+
+
+@query("sink_report", f"""SELECT case_id, decision AS json_decision, '# Screening Report — ' || case_id AS first_line, CASE WHEN {_HASJ} THEN '**Recommended action:** look' ELSE '**Recommended action:** —' END AS action_line FROM ({CUR}) c""")
+def q_report(spark, sf):
+    """Reports of all cases, written as JSON and Markdown and read back."""
+    path = work_folder(spark, "reports")
+    oc.write_reports(reported(spark, sf), path, shards=8)
+    lines = F.split("markdown", "\n")
+    return oc.read_reports(spark, path).select(
+        "case_id", F.get_json_object("json", "$.decision").alias("json_decision"), lines[0].alias("first_line"),
+        F.filter(lines, lambda x: x.startswith("**Recommended action"))[0].alias("action_line"))
+
 
 # --- audit ----------------------------------------------------------------------------------------------------
 
@@ -278,7 +307,7 @@ def _detail(spark, sf):
     return oc.case_detail(c, chained(spark, sf))
 
 
-_DET = f"{CHAIN} SELECT case_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS events FROM c GROUP BY case_id"
-query("join_case_audit", _DET)(lambda s, sf: _detail(s, sf).select("case_id", F.array_join(F.transform("audit", lambda a: a["id"].cast("string")), ",").alias("events")))
+query("join_case_audit", f"{CHAIN} SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank, count(*) OVER (PARTITION BY case_id) AS n_events, entry_hash FROM c")(
+    lambda s, sf: _detail(s, sf).select("case_id", "id", "rank", "n_events", "entry_hash"))
 query("case_detail", f"{CHAIN} SELECT case_id, count(*) AS n_events, max_by(entry_hash, id) AS last_hash FROM c GROUP BY case_id")(
-    lambda s, sf: _detail(s, sf).select("case_id", F.size("audit").cast("long").alias("n_events"), F.element_at("audit", -1)["entry_hash"].alias("last_hash")))
+    lambda s, sf: _detail(s, sf).filter("rank = n_events").select("case_id", "n_events", F.col("entry_hash").alias("last_hash")))

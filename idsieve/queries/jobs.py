@@ -7,6 +7,7 @@ from idsieve.plans import jobs
 from idsieve.plans.folders import work_folder
 from idsieve.queries import images as qi, inputs as I, intake as qn, text as qt, vectors as qv
 from idsieve.queries.registry import query
+from idsieve.settings import Settings
 from idsieve.sources import files as sfiles
 from idsieve.streaming.screen import CASES, EVENTS, read_sink, screen_stream, screen_to_sinks
 
@@ -30,10 +31,15 @@ def q_cells(spark, sf):
     return sfiles.gray_cells(images, band=3).select("path", "r", "c", "value")
 
 
-@query("sink_store_upload", f"SELECT path, left(sha256(path), 32) || ext AS name FROM ({qn.V1}) v WHERE {qn.CODE} IS NULL")
+@query("sink_store_upload", f"SELECT left(sha256(path), 32) || ext AS name, sha256(unhex(content_hex)) AS content_sha FROM ({qn.V1}) v WHERE {qn.CODE} IS NULL")
 def q_store(spark, sf):
-    ok = qn.coded(spark, sf).filter("code IS NULL")
-    return ok.select("path", sfiles.stored_name(F.col("path"), F.col("ext")).alias("name"))
+    """Accepted bytes written to the store by day, and read back; where uploads are not retained nothing is written."""
+    path = work_folder(spark, "uploads")
+    files = qn.coded(spark, sf).withColumn("modified", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600))
+    if sfiles.store_uploads(files, path, Settings()) is not None:
+        raise AssertionError("uploads are kept only where the settings say so")
+    sfiles.store_uploads(files, path, Settings(retain_uploads=True))
+    return spark.read.parquet(path).select("name", F.sha2("content", 256).alias("content_sha"))
 
 
 _TEXT = f"""SELECT d.doc_id, d.document_type, coalesce(x.full_text, '') AS full_text FROM ({I.ID_TEXT_SQL}) d LEFT JOIN (
