@@ -140,6 +140,40 @@ def liveness_job(frames: DataFrame) -> DataFrame:
     return identity.pad(frames)
 
 
+def text_module(docs: DataFrame, boxes: DataFrame, today: Column) -> DataFrame:
+    """What text recognition says of a document: OCR state and confidence, fields, dates, machine-readable zone."""
+    pages, fields, summary = text_job(docs, boxes, today)
+    dates = fields.filter(F.col("field").rlike("date|expiry|issue")).groupBy("doc_id").agg(F.array_sort(F.collect_list(
+        F.struct(F.concat(F.lit("date_"), F.col("field")).alias("check"), F.col("status").alias("status")))).alias("date_checks"))
+    seen = F.coalesce("text_box_count", F.lit(0)) > 0
+    page = pages.select(
+        "doc_id", "supports_mrz", "mrz_status", "name_cmp", "dob_cmp", "number_cmp", F.when(seen, "OK").otherwise("NOT_ASSESSED").alias("ocr_status"),
+        F.col("mean_ocr_confidence").alias("ocr_confidence"), F.col("check_digits_ok").cast("double").alias("mrz_check_pass_rate"),
+        F.col("mrz_status").isin("PARSED", "PARTIAL").cast("double").alias("mrz_parsed"))
+    found = summary.select("doc_id", "field_count", "field_completeness", "mean_field_ocr_confidence", "fields_status")
+    return page.join(found, "doc_id", "left").join(dates, "doc_id", "left")
+
+
+def face_module(pairs: DataFrame, key: str = "session_id") -> DataFrame:
+    """Faces of both sides and their comparison, from ``compare_job``, as the identity verdict reads them."""
+    status = lambda n: F.when(F.col(n) == 0, "NOT_DETECTED").when(F.col(n) == 1, "DETECTED").otherwise("MULTIPLE_DETECTED")
+    return pairs.select(
+        F.col(key).alias("doc_id"), status("doc_count").alias("face_status"), F.col("doc_count").cast("long").alias("face_count"),
+        status("doc_count").alias("doc_face_status"), F.when(F.col("live_count") > 0, "CAPTURED").alias("camera_status"),
+        F.when(F.col("live_count") > 0, status("live_count")).alias("live_face_status"),
+        F.when(F.col("live_count") > 0, F.col("live_count").cast("long")).alias("live_face_count"),
+        F.col("cmp_status").alias("ver_status"), F.col("cmp_result").alias("ver_result"), "similarity", "embedding_sources", F.lit(True).alias("expects_photo"))
+
+
+def liveness_module(frames: DataFrame, key: str) -> DataFrame:
+    """The worst capture of a document: one suspect frame counts, whatever the others show."""
+    worst = F.when(F.col("pad_decision").startswith("SUSPECT"), 3).when(F.col("pad_decision") == "INCONCLUSIVE", 2).when(
+        F.col("pad_decision") == "NOT_APPLICABLE", 0).otherwise(1)
+    d = liveness_job(frames)
+    return d.groupBy(F.col(key).alias("doc_id")).agg(
+        F.max_by(F.struct("pad_status", "pad_decision"), F.struct(worst, "spoof")).alias("w")).select("doc_id", "w.*")
+
+
 SCREEN_FUSION = (
     "enet_fp", "enet_auth", "enet_tamp", "enet_present", "vit_fp", "vit_auth", "vit_tamp", "vit_present",
     "clip_fp", "clip_proto", "clip_present",

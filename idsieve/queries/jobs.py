@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from idsieve.operators import decision as od, evidence as oe
 from idsieve.plans import jobs
 from idsieve.plans.folders import work_folder
-from idsieve.queries import images as qi, inputs as I, intake as qn, text as qt, vectors as qv
+from idsieve.queries import cases as qc, images as qi, inputs as I, intake as qn, text as qt, vectors as qv
 from idsieve.queries.registry import query
 from idsieve.settings import Settings
 from idsieve.sources import files as sfiles
@@ -55,10 +55,8 @@ def q_text(spark, sf):
     return summary.join(names, "doc_id", "left").select("doc_id", "field_count", F.coalesce("fields", F.lit("")).alias("fields"))
 
 
-@query("job_screen")
-def q_screen(spark, sf):
-    """All modules of the documents that have a measurement, through fusion to the decision."""
-    docs = I.table(spark, sf, "documents").select("doc_id", F.lit(1.0).alias("one"))
+def screen_modules(spark, sf):
+    """All modules of the documents, by name: each keyed by doc_id, from the table that stands for its input."""
     quality = jobs.quality_job(qi.measures(spark, sf)).select(
         "doc_id", "overall_quality", F.col("overall_quality").alias("evidence_quality"),
         "insufficient_for_analysis", "reason")
@@ -68,10 +66,23 @@ def q_screen(spark, sf):
             "mrz_check_pass_rate", "mrz_parsed"]
     vision = qv.fusion_inputs(spark, sf).drop(*drop).withColumns({
         "enet_ok": F.col("enet_present") > 0, "vit_ok": F.col("vit_present") > 0, "clip_ok": F.col("clip_present") > 0})
-    ocr = I.id_text(spark, sf).select("doc_id", F.lit("OK").alias("ocr_status"))
-    out = jobs.screen_job(docs, [quality, types, tamper, vision, ocr], qv.FW, qv.FB, (1.3, 0.2))
-    return out.select("doc_id", "document_type", "fusion_status", "calibration_status", "cv_overall", "confidence",
-                      "doc_status", "id_status", "decision", F.size("reasons").alias("n_reasons"))
+    text = jobs.text_module(I.id_text(spark, sf).select("doc_id", "document_type"), I.id_boxes(spark, sf), I.at(spark, I.TODAY))
+    frames = I.derive(spark, sf, qc.PAD).withColumns({"channel_means": F.array("m1", "m2", "m3"), "doc_id": F.col("event_id") % 1000})
+    return {"quality": quality, "types": types, "tamper": tamper, "vision": vision, "text": text,
+            "faces": jobs.face_module(qc.compared(spark, sf)), "liveness": jobs.liveness_module(frames, "doc_id")}
+
+
+def screened(spark, sf):
+    docs = I.table(spark, sf, "documents").select("doc_id", F.lit(1.0).alias("one"))
+    return jobs.screen_job(docs, list(screen_modules(spark, sf).values()), qv.FW, qv.FB, (1.3, 0.2))
+
+
+@query("job_screen")
+def q_screen(spark, sf):
+    """All modules of the documents, through checks and fusion to the decision."""
+    return screened(spark, sf).select(
+        "doc_id", "document_type", "ocr_status", "fields_status", "mrz_status", "pad_decision", "fusion_status", "calibration_status", "cv_overall", "confidence",
+        "doc_status", "id_status", "decision", F.size("reasons").alias("n_reasons"))
 
 
 def _screen_documents(batch):
