@@ -45,6 +45,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # How far each key has come in this run of the processor: further timers of the same watermark find nothing to do.
+        self.settled: dict = {}
         # Slots are cut into pieces, one per arriving chunk, so that a late chunk never rewrites what waits already.
         self.pending = handle.getMapState("pending", "slot long, piece string", "data binary")
 
@@ -58,6 +60,8 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # All that the watermark has passed is through, though timers that are set only now would wait for the next batch.
         upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() // self.slot_ms * self.slot_ms)
+        if self.settled.get(tuple(key), -1) >= upto:
+            return
         ready: dict[int, list] = {}
         for k in self.pending.keys():
             if (k[0] + 1) * self.slot_ms <= upto:
@@ -68,6 +72,7 @@ class InOrder(StatefulProcessor):
                 self.pending.removeKey(k)
             yield from self.step(key, data.to_pandas().sort_values(list(self.order), kind="stable", ignore_index=True))
         yield from self.settle(key, upto)
+        self.settled[tuple(key)] = upto
 
     def step(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
